@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import pii, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_quality": quality.op4,
+        "op5_secrets": secrets.op5,
+        "op10_pii": pii.op10,
         "op9_simhash": simhash.op9,
     }
 
