@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, quality, secrets, simhash
+from tessera.llm import lm, media, pii, quality, secrets, simhash, tokenids
 
 
 def queries() -> dict:
     return {
         "op4_quality": quality.op4,
         "op5_secrets": secrets.op5,
+        "op6_token_ids": tokenids.op6,
+        "op7_media": media.op7,
+        "op8_lm": lm.op8,
         "op10_pii": pii.op10,
         "op9_simhash": simhash.op9,
     }
