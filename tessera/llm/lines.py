@@ -119,17 +119,22 @@ def edits_within(a: bytes, b: bytes, most: int) -> bool:
     a, b = a[: len(a) - lo], b[: len(b) - lo]
     if len(a) > len(b):
         a, b = b, a
-    if not a:
-        return len(b) <= most
-    # A band of 2 * most + 1 diagonals: bit k of the masks is row j + k - most of column j.
+    rows = len(a)
+    if rows <= most:  # no band to speak of: a table of few rows
+        row = list(range(rows + 1))
+        for j, c in enumerate(b, 1):
+            last, row[0] = row[0], j
+            for k in range(1, rows + 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (a[k - 1] != c))
+        return row[rows] <= most
+    # Bit k of the masks is row j + k - most of column j, for the 2 * most + 1 diagonals of the band.
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     masks: dict[int, int] = {}
-    for k in range(min(most, len(a))):
+    for k in range(most):
         masks[a[k]] = masks.get(a[k], 0) | 1 << (k + most + 1)
     vp, vn, distance = full ^ ((1 << most) - 1), 0, most
-    # distance is that of the band's lowest row, which runs down the diagonal until it leaves the shorter text.
-    rows = len(a)
+    # distance is that of the band's last row, until the band reaches the last row of all and moves along it.
     for j, c in enumerate(b):
         for x in masks:
             masks[x] >>= 1
@@ -139,15 +144,15 @@ def edits_within(a: bytes, b: bytes, most: int) -> bool:
         d0 = ((((pm & vp) + vp) ^ vp) | pm | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
-        x = d0 >> 1
-        vp, vn = (hn | ~(x | hp)) & full, x & hp
         if j + most < rows:
             distance += not d0 & top
         else:
-            bit = 1 << (width - 2 - (j + most - rows))
-            distance += bool(hp & bit) - bool(hn & bit)
-        if distance > 2 * most + (j + most >= rows) * 0 and j + most < rows:
+            bit = width - 2 - (j + most - rows)
+            distance += (hp >> bit & 1) - (hn >> bit & 1)
+        if distance > 2 * most + len(b) - rows:
             return False
+        x = d0 >> 1
+        vp, vn = (hn | ~(x | hp)) & full, x & hp
     return distance <= most
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import lm, media, pii, quality, secrets, simhash, tokenids
+from tessera.llm import decontaminate, lines, lm, media, pieces, pii, quality, secrets, simhash, tokenids
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1,
+        "op2_decontamination": decontaminate.op2,
+        "op3_sentencepiece": pieces.op3,
         "op4_quality": quality.op4,
         "op5_secrets": secrets.op5,
         "op6_token_ids": tokenids.op6,

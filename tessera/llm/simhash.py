@@ -188,5 +188,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with its columns, with one row of each group of near-duplicates: that of the smallest id.
+
+    Null ids come last; of rows equal in id and text one stays.
+    """
+    rkey = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), rkey.alias("rkey"))
+    groups = near_duplicates(docs.select(order.alias("__order"), F.col(text_col).alias("__text")), "__order", "__text")
+    kept = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id.rkey").alias("__rkey")).agg(F.count("*").alias("n")), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), rkey.alias("__rkey")).join(kept.select("__rkey"), "__rkey", "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["__rkey"])
+    return rows.select("__row.*")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
