@@ -13,7 +13,6 @@ write can hold them; the table of frequencies is a row of its own.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -146,39 +145,73 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
 class UnitEncoder:
     """The tokenizers library's own ids, with the units of a text encoded once.
 
-    A byte-level BPE pre-tokenizer keeps a space at the front of what follows it, so a text can be cut before any space
-    that follows other than white space, and the ids of the parts joined are the ids of the whole. A text with a space
-    after white space goes to the library as a whole.
+    A byte-level BPE pre-tokenizer keeps a space at the front of what follows it and a line end between other characters
+    by itself. So a text can be cut at its line ends and before the spaces of a line, and the ids of the parts joined are
+    the ids of the whole, unless white space meets a space or a line end: such a text goes to the library as a whole.
+    Units that aren't known yet are encoded many at a time, joined by line ends.
     """
 
-    ODD = re.compile(r"\s |^ ")
-
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.first: dict[str, bytes | None] = {}  # units that begin a line; None: the text must stay whole
+        self.later: dict[str, bytes | None] = {}  # units that follow a space, without it
         self.most = most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.ODD.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        known = self.known
-        for units in split:
-            if units:
-                units[1:] = [" " + u for u in units[1:]]
-        fresh = list({u for units in split if units for u in units if u not in known})
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = list({u for units in split if units for u in units})
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(t) if units is None else np.frombuffer(b"".join([known[u] for u in units]), "<u4") for t, units in zip(texts, split, strict=True)]
+        self.line_end = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, fresh: set[str], known: dict[str, bytes | None], lead: str) -> None:
+        plain, size = [], 2 if self.kind == "<u2" else 4
+        for u in fresh:
+            if u.split() == [u]:
+                plain.append(u)
+            else:
+                known[u] = None if not u or u[0].isspace() or u[-1].isspace() else self.whole(lead + u)
+        groups = [plain[k : k + 50] for k in range(0, len(plain), 50)]
+        mark = np.frombuffer(self.line_end, self.kind)[0]
+        for k in range(0, len(groups), 400):
+            part = groups[k : k + 400]
+            found = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(g) for g in part], add_special_tokens=False)
+            for g, e in zip(part, found, strict=True):
+                ids = np.array(e.ids, self.kind)
+                ends = [*(np.flatnonzero(ids == mark) * size).tolist(), len(ids) * size]
+                raw, at = ids.tobytes(), 0
+                if len(ends) != len(g):
+                    known.update((u, self.whole(lead + u)) for u in g)
+                    continue
+                for u, end in zip(g, ends, strict=True):
+                    known[u] = raw[at:end]
+                    at = end + size
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        first, later = self.first, self.later
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        heads: set[str] = set()
+        tails: set[str] = set()
+        for lines in split:
+            for units in lines:
+                heads.add(units[0])
+                if len(units) > 1:
+                    tails.update(units[1:])
+        if len(first) + len(later) > self.most:
+            first.clear()
+            later.clear()
+        self._learn(heads - first.keys(), first, "")
+        self._learn(tails - later.keys(), later, " ")
+        out, line_end = [], self.line_end
+        for text, lines in zip(texts, split, strict=True):
+            try:
+                if any(s in text for s in self.special):
+                    raise TypeError
+                out.append(line_end.join([b"".join([first[u[0]], *[later[w] for w in u[1:]]]) for u in lines]))
+            except TypeError:  # a unit that can't stand by itself
+                out.append(self.whole(text))
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -193,20 +226,35 @@ def _encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, end_id last; a null text has the end id alone."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, ids, counts), and the integer type of ids: their bytes, end_id last; a null text has the end id alone.
+
+    Each task ends with a row without ids: its count of every id.
+    """
     rows = id_text(docs, id_col, text_col)
-    kind = dict(rows.dtypes)["doc_id"]
+    doc_kind = dict(rows.dtypes)["doc_id"]
+    kind = _encoder(path).kind if end_id < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail = _encoder(path), np.array([end_id], "<u4").tobytes()
+        coder, tail = _encoder(path), np.array([end_id], kind).tobytes()
+        total = np.zeros(end_id + 1, np.int64)
+        doc_type = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [x.tobytes() + tail for x in coder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
+            doc_type = batch.schema.field(0).type
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = coder.encode(part.column(1).to_pylist())
+                if coder.kind != kind:
+                    ids = [np.frombuffer(x, coder.kind).astype(kind).tobytes() for x in ids]
+                ids = [x + tail for x in ids]
+                counts = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+        if doc_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+
+    return rows.mapInArrow(run, f"doc_id {doc_kind}, ids binary, counts binary"), kind
 
 
 def shared_table(tokens: DataFrame) -> Table:
@@ -216,14 +264,14 @@ def shared_table(tokens: DataFrame) -> Table:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                c = np.bincount(np.frombuffer(x.as_py(), "<u4"))
+                c = np.frombuffer(x.as_py(), "<i8")
                 if len(c) > len(total):
                     total = np.pad(total, (0, len(c) - len(total)))
                 total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = tokens.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         out[r.id] = r.n
@@ -233,10 +281,11 @@ def shared_table(tokens: DataFrame) -> Table:
 BLOCK_SCHEMA = "part long, seq long, before long, n_docs long, n_tokens long, lengths binary, payload binary"
 
 
-def write_blocks(tokens: DataFrame, table: Table, block: int = BLOCK) -> DataFrame:
+def write_blocks(tokens: DataFrame, table: Table, id_kind: str = "<u4", block: int = BLOCK) -> DataFrame:
     """Blocks in ascending order of doc_id, written and reread; `before` counts the ids of a part ahead of a block."""
     kind = dict(tokens.dtypes)["doc_id"]
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    width = int(id_kind[-1])
+    ordered = tokens.filter("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     freq = table.freq.astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +296,8 @@ def write_blocks(tokens: DataFrame, table: Table, block: int = BLOCK) -> DataFra
         who: list = []
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in ids], "<u4")
-            payload = encode(np.frombuffer(b"".join(ids), "<u4"), shared)
+            lengths = np.array([len(x) // width for x in ids], "<u4")
+            payload = encode(np.frombuffer(b"".join(ids), id_kind).astype(np.uint32), shared)
             cols = [pa.array([v]) for v in (part, seq, before, len(ids), size)]
             return pa.RecordBatch.from_arrays([*cols, pa.array([lengths.tobytes()], pa.binary()), pa.array([payload], pa.binary()), pa.array([who], pa.list_(doc_type))], names)
 
@@ -259,7 +308,7 @@ def write_blocks(tokens: DataFrame, table: Table, block: int = BLOCK) -> DataFra
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 who.append(doc)
                 ids.append(x)
-                size += len(x) // 4
+                size += len(x) // width
                 if size >= block:
                     yield flush()
                     seq, before, size, ids, who = seq + 1, before + size, 0, [], []
@@ -301,9 +350,10 @@ def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     Null and empty texts have one id, the end. Repeated ids follow each other, in the order of their token ids; null
     ids come first; an empty table gives an empty result.
     """
-    tokens = materialize(tokenized(docs, path, end_id, id_col, text_col), "tokens")
+    tokens, kind = tokenized(docs, path, end_id, id_col, text_col)
+    tokens = materialize(tokens, "tokens")
     table = shared_table(tokens)
-    return read_blocks(write_blocks(tokens, table), table)
+    return read_blocks(write_blocks(tokens, table, kind), table)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
