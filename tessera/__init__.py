@@ -1,0 +1 @@
+"""Record linkage and corpus preparation on Spark DataFrames."""
