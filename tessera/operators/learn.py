@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.evaluate import hashed, sweep
+from tessera.operators.evaluate import hashed
 
 
 def shuffled(df: DataFrame, by: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -130,7 +130,7 @@ def importances(model, names: list[str], n: int = 12) -> list[tuple[str, float]]
 def save_model(model, path: str, names: list[str], **facts: float) -> None:
     """The pipeline model, and beside it one JSON row with the feature names, threshold and validation figures."""
     model.write().overwrite().save(f"{path}/model")
-    spark = model.stages[-1]._java_obj and __import__("pyspark").sql.SparkSession.active()
+    spark = SparkSession.active()
     spark.createDataFrame([(names, {k: float(v) for k, v in facts.items()})], "names array<string>, facts map<string,double>").coalesce(1).write.mode("overwrite").json(f"{path}/facts")
 
 
@@ -139,6 +139,3 @@ def load_model(spark, path: str):
 
     facts = spark.read.schema("names array<string>, facts map<string,double>").json(f"{path}/facts").first()
     return PipelineModel.load(f"{path}/model"), facts.names, facts.facts
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + [sweep.__name__]
