@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -72,19 +74,31 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def most_frequent(counted: DataFrame, count_col: str, most: int) -> DataFrame:
-    """All rows of the largest counts, `most` at most: those over a cut that a histogram of powers of 2 ** (1 / 32) gives.
+def split_frequent(counted: DataFrame, count_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the largest counts, `most` at most, and all others: cut by a histogram of powers of 2 ** (1 / 32).
 
     The histogram has a few thousand rows whatever the table, so no task sends its own best rows to the driver.
     """
     level = F.floor(F.log2(F.col(count_col)) * 32)
     sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
-    total, cut = 0, None
+    total, cut = 0, 1 << 40
     for r in sorted(sizes, key=lambda r: -r.level):
         if (total := total + r.n) > most:
             break
         cut = r.level
-    return counted.filter(F.lit(False)) if cut is None else counted.filter(level >= cut)
+    return counted.filter(level >= cut), counted.filter(level < cut)
+
+
+def most_frequent(counted: DataFrame, count_col: str, most: int) -> DataFrame:
+    return split_frequent(counted, count_col, most)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer in use."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pack_rows(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into units, the runs of blanks and letters that no piece crosses. Each different unit is encoded once:
-its substrings of bounded length are exploded and equi-joined to the piece table, the edges found are grouped by unit,
-and a Spark higher-order aggregate folds them to ids. For a unigram model the fold is Viterbi, the best sum of piece
-scores from the left. For a BPE model it is the merge order (the best-scored edge over two neighbouring symbols, the
-leftmost of equals, until none is left), because the best sum of BPE scores is not what such a model encodes. Characters
-that no edge covers fall back to bytes.
+Texts are cut into units that no piece crosses: lines, and in a line each word with the space before it. Each different
+unit is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, and the edges
+found are folded to ids unit by unit. For a unigram model the edges are grouped and the fold is Viterbi, the best sum of
+piece scores from the left, as a Spark higher-order aggregate. For a BPE model the best sum of scores is not what the
+model encodes; its fold is the merge order (the best-scored edge over two neighbouring symbols, the leftmost of equals,
+until none is left). `merge_fold` states that as a higher-order aggregate too; `merged_units` does the same for many
+units at once on Arrow batches, in which the edges of a unit arrive together, and is the one that queries use.
+Characters that no edge covers fall back to bytes.
 
 The most frequent units (HOT at most) go to every executor; the others return, as a dictionary, to the chunk of texts
 that holds them. A chunk has about CHUNK characters, its texts travel compressed, and no chunk sees another's units.
+
+A unit is named by its text: a word after a space by itself, a word that begins a line behind a line end.
 """
 
 from __future__ import annotations
 
-import gc
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, load, materialize, most_frequent
+from tessera.llm.common import discard, id_text, load, materialize, release, split_frequent
 
 SPACE = "▁"
-HOT = 300_000
-CHUNK = 16_000_000
-FLUSH = 300_000
-UNIT = re.compile(r" *[^ \n]+| +|\n")
+HOT = 800_000
+CHUNK = 8_000_000
+FLUSH = 400_000
+UNIT = re.compile(r" *[^ ]+| +")
 
 
 @dataclass
@@ -72,24 +74,60 @@ class Vocabulary:
         return cls([(m.id_to_piece(i), i, s) for i, s in zip(plain, scores, strict=True)], [i for i in range(n) if m.is_byte(i)], m.unk_id(), n, bpe, texts)
 
 
-def units_of(text: str) -> list[str]:
-    """The units of a text with its space in front; a text of nothing has none."""
-    return UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+def units_of(text: str) -> list[list[str]]:
+    """The units of each line of a text with its space in front; a text of nothing has no lines."""
+    if not text:
+        return []
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    out = []
+    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
+        for line in (" " + text).split("\n"):
+            if "  " not in line and line[-1:] != " " and line[:1] != " ":
+                units = line.split(" ")
+                units[0] = "\n" + units[0]
+                out.append(units if line else [])
+            else:
+                out.append([u[1:] if u[0] == " " else "\n" + u for u in UNIT.findall(line)])
+        return out
+    for line in text.split("\n"):
+        units = line.split(" ")
+        if out:
+            if line:
+                units[0] = "\n" + units[0]
+            else:
+                units = []
+        out.append(units)
+    if not text.partition("\n")[0]:
+        out[0] = [""]
+    return out
+
+
+def normal(unit: str) -> str:
+    """The characters of a unit as pieces hold them."""
+    return (unit[1:] if unit[:1] == "\n" else " " + unit).replace(" ", SPACE)
+
+
+def normal_column(unit: Column) -> Column:
+    return F.translate(F.when(F.startswith(unit, F.lit("\n")), F.substr(unit, F.lit(2))).otherwise(F.concat(F.lit(" "), unit)), " ", SPACE)
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
 
 
+def substrings(units: DataFrame, vocabulary: Vocabulary, *keep: str) -> DataFrame:
+    """The substrings (at, size, piece) of every unit up to the longest piece, with the columns kept."""
+    rows = units.select(*keep, normal_column(F.col("unit")).alias("norm")).withColumn("n", F.length("norm"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("at")))))
+    return rows.select(*keep, "at", "size", F.substr("norm", F.col("at") + 1, F.col("size")).alias("piece"))
+
+
 def edges(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, edges): the lattice of each unit, an array of (at, size, id, score) with positions from 0."""
-    spark = units.sparkSession
-    lattice = units.select("unit", F.translate("unit", " ", SPACE).alias("norm")).withColumn("n", F.length("norm"))
-    lattice = lattice.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    lattice = lattice.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("at")))))
-    lattice = lattice.withColumn("piece", F.substr("norm", F.col("at") + 1, F.col("size"))).select("unit", "at", "size", "piece")
     # The piece table is bounded by the vocabulary, whatever the corpus.
-    lattice = lattice.join(F.broadcast(piece_table(spark, vocabulary)), "piece")
+    lattice = substrings(units, vocabulary, "unit").join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece")
     return lattice.groupBy("unit").agg(F.collect_list(F.struct("at", "size", "id", "score")).alias("edges"))
 
 
@@ -133,11 +171,115 @@ def viterbi_fold(norm: Column, found: Column, unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), state, step, lambda acc: F.get(acc["best"], n)["b"])
 
 
-def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, ids): ids of every distinct unit of column unit (none empty)."""
+def fold_merges(norms: list[str], unit: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, rank: np.ndarray, longest: int, byte_ids: list[int], unknown: int) -> list[np.ndarray]:
+    """Ids of many units: edges (unit, at, size, id) in any order; rank of an id is higher the better its score."""
+    width = longest + 1
+    length = np.array([len(x) for x in norms], np.int64)
+    base = np.r_[0, np.cumsum(length * width)]
+    piece = np.full(int(base[-1]), -1, np.int32)
+    piece[base[unit] + at * width + size] = ids
+    u = np.repeat(np.arange(len(norms)), length)
+    s = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    e = s + 1
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(u):
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        value = np.full(len(u), -1, np.int64)
+        span = np.r_[e[1:] - s[:-1], 0]
+        pair = np.flatnonzero(np.r_[u[1:] == u[:-1], False] & (span <= longest))
+        found = piece[base[u[pair]] + s[pair] * width + span[pair]]
+        hit = found >= 0
+        pair, found = pair[hit], found[hit]
+        value[pair] = rank[found].astype(np.int64) * (1 << 32) + (1 << 31) - s[pair]
+        best = np.maximum.reduceat(value, first)
+        per = np.diff(np.r_[first, len(u)])
+        open_ = np.repeat(best >= 0, per)
+        if not open_.all():
+            done.append((u[~open_], s[~open_], e[~open_]))
+        take = np.flatnonzero(open_ & (value == np.repeat(best, per)))
+        e[take] = e[take + 1]
+        keep = open_
+        keep[take + 1] = False
+        u, s, e = u[keep], s[keep], e[keep]
+    if not done:
+        return [np.zeros(0, np.int32) for _ in norms]
+    u, s, e = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.lexsort((s, u))
+    u, s, e = u[order], s[order], e[order]
+    out = piece[base[u] + s * width + e - s]
+    bounds = np.searchsorted(u, np.arange(len(norms) + 1))
+    lists = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for k in np.unique(u[out < 0]).tolist():
+        own: list[int] = []
+        for i in range(bounds[k], bounds[k + 1]):
+            own += [int(out[i])] if out[i] >= 0 else [byte_ids[b] for b in norms[k][s[i]].encode()] if byte_ids else [unknown]
+        lists[k] = np.array(own, np.int32)
+    return lists
+
+
+def merged_units(units: DataFrame, vocabulary: Vocabulary, packed: str | None = None) -> DataFrame:
+    """(unit, n, ids) of distinct units (unit, n) by the merge order of a BPE model; packed: ids as bytes of that integer type.
+
+    Exploding and joining to a broadcast table keep the order of rows, so the edges of a unit follow its first substring,
+    which is kept with the unit's text whether a piece or not; the stream is checked for that order.
+    """
+    rows = units.select("unit", "n", F.monotonically_increasing_id().alias("u")).withColumnRenamed("n", "count")
+    lattice = substrings(rows, vocabulary, "unit", "count", "u").join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece", "left")
+    head = (F.col("at") == 0) & (F.col("size") == 1)
+    lattice = lattice.filter(F.col("id").isNotNull() | head).select("u", F.when(head, F.col("unit")).alias("unit"), F.when(head, F.col("count")).alias("count"), "at", "size", F.coalesce("id", F.lit(-1)).alias("id"))
+    scores = np.full(vocabulary.size, -np.inf)
+    for _, i, score in vocabulary.pieces:
+        scores[i] = score
+    rank = np.unique(scores, return_inverse=True)[1].astype(np.int32)
+    longest, byte_ids, unknown = vocabulary.longest, vocabulary.byte_ids, vocabulary.unknown
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        held, last = 0, -1
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            names = table.column("unit").drop_null().to_pylist()
+            u, at, size, ids = (table.column(c).to_numpy() for c in ("u", "at", "size", "id"))
+            head = (at == 0) & (size == 1)
+            index = np.cumsum(head) - 1
+            if len(names) != index[-1] + 1 or not np.array_equal(u, u[head][index]) or (np.diff(u[head]) <= 0).any():
+                raise RuntimeError("the edges of a unit don't come together")
+            known = ids >= 0
+            found = fold_merges([normal(n) for n in names], index[known], at[known].astype(np.int64), size[known].astype(np.int64), ids[known], rank, longest, byte_ids, unknown)
+            counts = table.column("count").drop_null().combine_chunks()
+            if packed:
+                lists = pa.array([x.astype(packed).tobytes() for x in found], pa.binary())
+            else:
+                ends = np.cumsum([len(x) for x in found])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), counts, lists], ["unit", "n", "ids"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(pa.Table.from_batches([batch]))
+            held += batch.num_rows
+            if held < 200_000:
+                continue
+            table = pa.concat_tables(kept)
+            u = table.column("u").to_numpy()
+            cut = int(np.searchsorted(u, u[-1]))
+            if cut:
+                yield flush(table.slice(0, cut))
+            kept, held = [table.slice(cut)], held - cut
+        if held:
+            yield flush(pa.concat_tables(kept))
+
+    return lattice.mapInArrow(run, f"unit string, n long, ids {'binary' if packed else 'array<int>'}")
+
+
+def encoded_units(units: DataFrame, vocabulary: Vocabulary, aggregate: bool = False) -> DataFrame:
+    """(unit, ids): ids of every distinct unit of column unit; aggregate: fold as a higher-order aggregate in any case."""
+    if vocabulary.bpe and not aggregate:
+        return merged_units(units.select("unit").distinct().withColumn("n", F.lit(0).cast("long")), vocabulary).select("unit", "ids")
     lattice = units.select("unit").distinct()
     lattice = lattice.join(edges(lattice, vocabulary), "unit", "left")
-    norm = F.translate("unit", " ", SPACE)
+    norm = normal_column(F.col("unit"))
     found = F.coalesce("edges", F.array().cast("array<struct<at:int,size:int,id:int,score:double>>"))
     least = min((s for _, _, s in vocabulary.pieces), default=0.0)
     bounds = merge_fold(F.col("norm"), F.col("edges")) if vocabulary.bpe else viterbi_fold(F.col("norm"), F.col("edges"), least - 10.0)
@@ -162,12 +304,6 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.select("unit", ids.alias("ids"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer in use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def unit_counts(docs: DataFrame) -> DataFrame:
     """(unit, n) of all texts."""
 
@@ -183,7 +319,8 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for k, text in enumerate(batch.column(0).to_pylist()):
-                held.update(units_of(text))
+                for units in units_of(text):
+                    held.update(units)
                 if k % 64 == 0 and len(held) > FLUSH:
                     yield flush()
         if held:
@@ -193,7 +330,7 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids, text_crc32) for every row of docs.
+    """(doc_id, ids, restored) for every row of docs.
 
     A null or empty text has no ids; repeated rows and null ids are kept; an empty table gives an empty result.
     """
@@ -202,41 +339,51 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     kind = dict(rows.dtypes)["doc_id"]
     counted = unit_counts(rows)
     words = materialize(counted, "units")
+    del counted
     release(spark)
-    lattice = encoded_units(words, vocabulary)
-    known = materialize(lattice.join(words, "unit"), "encoded")
-    del counted, lattice
+    width = "<u2" if vocabulary.size <= 1 << 16 else "<i4"
+    known = materialize(merged_units(words, vocabulary, width) if vocabulary.bpe else _packed(encoded_units(words, vocabulary).join(words, "unit"), width), "encoded")
+    discard(words)
     release(spark)
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // chunk))
-    top = most_frequent(known, "n", hot).select("unit", "ids").toArrow()
-    packed = np.asarray(top.column("ids").combine_chunks().flatten(), np.int32) if top.num_rows else np.zeros(0, np.int32)
-    ends = np.cumsum([len(x) for x in top.column("ids")]) if top.num_rows else np.zeros(0, np.int64)
-    shared = spark.sparkContext.broadcast((top.column("unit").to_pylist(), packed.astype("<i4").tobytes(), np.r_[0, ends].astype(np.int64)))
+    often, seldom = split_frequent(known, "n", hot)
+    sink = pa.BufferOutputStream()
+    top = often.select("unit", "ids").toArrow()
+    with pa.ipc.new_stream(sink, top.schema) as out:
+        out.write_table(top)
+    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    line_end = np.array(vocabulary.byte_ids[10:11] or [vocabulary.unknown], width).tobytes()
     held: dict[str, dict[str, bytes]] = {}
 
     def frequent() -> dict[str, bytes]:
-        if "hot" not in held:
-            names, raw, at = shared.value
-            held["hot"] = {u: raw[4 * a : 4 * b] for u, a, b in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        if not held:
+            held["hot"] = _dictionary(pa.ipc.open_stream(shared.value).read_all())
         return held["hot"]
 
     placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent()
-        seen: set[tuple[int, str]] = set()
+        seen: dict[int, set[str]] = {}
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.int64()), pa.array([u for _, u in seen], pa.string())], ["chunk", "unit"])
+            at = np.repeat(np.array(list(seen), np.int64), [len(x) for x in seen.values()])
+            out = pa.RecordBatch.from_arrays([pa.array(at), pa.array([u for x in seen.values() for u in x], pa.string())], ["chunk", "unit"])
             seen.clear()
             return out
 
         for batch in batches:
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((c, u) for u in set(units_of(text)) if u not in table)
-                if len(seen) > FLUSH:
+                own = seen.setdefault(c, set())
+                size -= len(own)
+                for units in units_of(text):
+                    own |= set(units).difference(table)
+                size += len(own)
+                if size > FLUSH:
                     yield flush()
+                    size = 0
         if seen:
             yield flush()
 
@@ -252,62 +399,72 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                     out.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["chunk", "rows"])
 
-    names = ["doc_id", "ids", "text_crc32"]
+    names = ["doc_id", "ids", "restored"]
+    texts_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    pieces = vocabulary.texts
 
     def finish(units: pa.Table, texts: pa.Table) -> pa.Table:
-        table, own = frequent(), {}
-        flat = units.column("ids").combine_chunks() if units.num_rows else None
-        if flat is not None:
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            raw = np.asarray(flat.flatten(), "<i4").tobytes()
-            at = (np.asarray(flat.offsets, np.int64) - flat.offsets[0].as_py()).tolist()
-            own = {u: raw[4 * a : 4 * b] for u, a, b in zip(units.column("unit").to_pylist(), at[:-1], at[1:], strict=True)}
+        hot_units = frequent()
+        own = _dictionary(units)
         out = []
         for value in texts.column("rows"):
             part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(value.as_py())).read_all().combine_chunks()
-            ids, sizes, crc = [], [0], []
+            found, sizes, same = [], [0], []
             for text in part.column("text").to_pylist():
-                found = b"".join([table.get(u) or own[u] for u in units_of(text)])
-                ids.append(found)
-                sizes.append(len(found) // 4)
-                crc.append(zlib.crc32(text.encode()))
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), values)
-            out.append(pa.table([part.column("doc_id"), lists, pa.array(crc, pa.int64())], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], texts_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.int64())], names=names)
-
-    texts_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    wanted = placed.select("chunk", "text").mapInArrow(rare, "chunk long, unit string").distinct()
-    own = wanted.join(known.select("unit", "ids"), "unit").select("chunk", "unit", "ids")
+                raw = line_end.join([b"".join([hot_units.get(u) or own[u] for u in line]) for line in units_of(text)])
+                ids = np.frombuffer(raw, width)
+                found.append(ids)
+                sizes.append(len(ids))
+                same.append(text_of(ids, pieces) == (text.replace(SPACE, " ") if SPACE in text else text))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            out.append(pa.table([part.column("doc_id"), lists, pa.array(same)], names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], texts_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.bool_())], names=names)
+
+    # Pairs that several tasks ask for may repeat: a dictionary doesn't mind.
+    wanted = placed.select("chunk", "text").mapInArrow(rare, "chunk long, unit string")
+    own = wanted.join(seldom.select("unit", "ids"), "unit").select("chunk", "unit", "ids")
     packs = placed.mapInArrow(pack, "chunk long, rows binary")
-    return own.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, ids array<int>, text_crc32 long")
+    return own.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, ids array<int>, restored boolean")
+
+
+def _packed(encoded: DataFrame, width: str) -> DataFrame:
+    """(unit, n, ids) with ids as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array(x, width).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["unit", "n", "ids"])
+
+    return encoded.select("unit", "n", "ids").mapInArrow(run, "unit string, n long, ids binary")
+
+
+def _dictionary(table: pa.Table) -> dict[str, bytes]:
+    return dict(zip(table.column("unit").to_pylist(), table.column("ids").to_pylist(), strict=True))
+
+
+def text_of(ids: np.ndarray, pieces: list[bytes]) -> str:
+    """The text of some ids, without the space put in front."""
+    text = b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
-    """encoded with its columns and `decoded`: the text of the ids, without the space put in front; null ids decode to null."""
+    """encoded with its columns and `decoded`, the text of the ids; null ids decode to null."""
     texts = vocabulary.texts
 
     @F.pandas_udf("string")
     def run(values):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        out = []
-        for ids in values:
-            if ids is None:
-                out.append(None)
-                continue
-            text = b"".join([texts[i] for i in ids.tolist()]).decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
-        return pd.Series(out, dtype=object)
+        return pd.Series([None if ids is None else text_of(np.asarray(ids), texts) for ids in values], dtype=object)
 
     return encoded.withColumn("decoded", run(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """doc_id, n_tokens, ids, restored: whether the ids decode to the text (a character that means a space comes back as one)."""
-    out = decode(encode(docs, vocabulary, id_col, text_col, **sizes), vocabulary)
-    same = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("restored"))
+    out = encode(docs, vocabulary, id_col, text_col, **sizes)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

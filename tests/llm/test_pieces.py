@@ -54,14 +54,21 @@ def test_viterbi_fold_for_unigram_models(spark):
     words = {"▁th": -2.5, "e": -3.1, "▁": -2.2, "t": -4.0, "h": -4.1, "he": -2.9, "▁the": -3.3, "n": -3.7, "▁then": -8.0, "ab": -5.25, "a": -3.5, "b": -3.6, "aba": -6.7}
     pieces = [(p, i + 3, s) for i, (p, s) in enumerate(words.items())]
     v = P.Vocabulary(pieces, [], 0, 99, False, [])
-    units = [" the", " then", "abab", " thx", "ababa", "q", "heth"]
+    units = ["the", "then", "\nabab", "thx", "\nababa", "\nq", "\nheth"]
     got = {r.unit: r.ids for r in P.encoded_units(spark.createDataFrame([(u,) for u in units * 2], "unit string"), v).collect()}
     score = {i: s for _, i, s in pieces}
     for u in units:
-        total, _ = best_path(u.replace(" ", "▁"), words, min(words.values()) - 10)
+        total, _ = best_path(P.normal(u), words, min(words.values()) - 10)
         assert math.isclose(sum(score.get(i, min(words.values()) - 10) for i in got[u]), total), u
 
 
+def test_the_two_forms_of_the_merge_fold_agree(spark, vocabulary):
+    units = ["the", "\nSpark", "internationalization", "", " ", "   x", "éà漢", "\nééé", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\n.com();"]
+    df = spark.createDataFrame([(u,) for u in units], "unit string")
+    a, b = ({r.unit: list(r.ids) for r in P.encoded_units(df, vocabulary, x).collect()} for x in (False, True))
+    assert a == b and set(a) == set(units)
+
+
 def test_empty_table(spark, vocabulary):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert P.round_trip(df, vocabulary).count() == 0
