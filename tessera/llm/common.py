@@ -29,12 +29,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tessera.llm.common import id_text, load, materialize
+from tessera.llm.common import id_text, load, materialize, text_buffers
+from tessera.llm.kernel import Hasher, slices, word_bounds
 
 BITS = 20  # frequencies sum to 2 ** BITS
-LANES = 256
+LANES = 1024
 STEPS = 512  # between checkpoints
-BLOCK = 1 << 17  # a block ends with the first document that fills it
+BLOCK = 1 << 20  # a block ends with the first document that fills it
 END_ID = 2
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4s7I")
@@ -142,76 +144,165 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
     return out[first - begin * lanes : last - begin * lanes]
 
 
+_CUT = np.zeros(256, bool)
+_CUT[[0x20, 0x0A]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_POINT = np.zeros(256, bool)
+_POINT[[ord(c) for c in ".,;:!?"]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+
+
 class UnitEncoder:
     """The tokenizers library's own ids, with the units of a text encoded once.
 
     A byte-level BPE pre-tokenizer keeps a space at the front of what follows it and a line end between other characters
-    by itself. So a text can be cut at its line ends and before the spaces of a line, and the ids of the parts joined are
-    the ids of the whole, unless white space meets a space or a line end: such a text goes to the library as a whole.
-    Units that aren't known yet are encoded many at a time, joined by line ends.
+    by itself. So a text can be cut at its line ends and before its spaces, and the ids of the parts joined are the ids
+    of the whole, unless white space meets white space or begins or ends a text, or a special token occurs: such a text
+    goes to the library as a whole. A point or comma behind a letter begins a unit too. Many texts are cut at once; their
+    different units are found by hash and looked up. Of those not known yet, runs of letters are one pre-token and go to
+    the library's model; all others are encoded many at a time, joined by line ends.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.first: dict[str, bytes | None] = {}  # units that begin a line; None: the text must stay whole
-        self.later: dict[str, bytes | None] = {}  # units that follow a space, without it
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain: dict[bytes, bytes] = {}  # units without a space in front
+        self.spaced: dict[bytes, bytes] = {}  # units after a space, without it
         self.most = most
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, fresh: set[str], known: dict[str, bytes | None], lead: str) -> None:
-        plain, size = [], 2 if self.kind == "<u2" else 4
-        for u in fresh:
-            if u.split() == [u]:
-                plain.append(u)
-            else:
-                known[u] = None if not u or u[0].isspace() or u[-1].isspace() else self.whole(lead + u)
-        groups = [plain[k : k + 50] for k in range(0, len(plain), 50)]
-        mark = np.frombuffer(self.line_end, self.kind)[0]
-        for k in range(0, len(groups), 400):
-            part = groups[k : k + 400]
-            found = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(g) for g in part], add_special_tokens=False)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = np.frombuffer(self.whole(b"\n"), self.kind)
+        # The byte alphabet of such tokenizers: printable Latin-1 stands for itself, the other bytes follow from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        probes = ["hello", " hello", " \u00dcberzeugung", "\u4e2d\u6587", " \u00c0\u00ad\u00e0x"[:2]]
+        self.direct = all(self._one(p.encode()) == self.whole(p.encode()) for p in probes)
+
+    def _one(self, unit: bytes) -> bytes:
+        """Ids of a unit that is one pre-token."""
+        tokens = self.model.tokenize(unit.decode("latin-1").translate(self.letters))
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in tokens]).tobytes()
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, fresh: list[bytes], known: dict[bytes, bytes], lead: bytes) -> None:
+        mark, size, join = self.line_end, self.kind.itemsize, b"\n" + lead
+        if self.direct:
+            ask, code, front = self.model.tokenize, "H" if size == 2 else "I", lead.decode("latin-1").translate(self.letters)
+            rest = []
+            for u in fresh:
+                if u.isalpha():  # ASCII letters stand for themselves
+                    known[u] = array(code, [t.id for t in ask(front + u.decode())]).tobytes()
+                elif not u.isascii() and u.decode("utf-8", "replace").isalpha():
+                    known[u] = self._one(lead + u)
+                else:
+                    rest.append(u)
+            fresh = rest
+        groups = [fresh[k : k + 400] for k in range(0, len(fresh), 400)]
+        for k in range(0, len(groups), 50):
+            part = groups[k : k + 50]
+            found = self.tokenizer.encode_batch_fast([(lead + join.join(g)).decode("utf-8", "replace") for g in part], add_special_tokens=False)
             for g, e in zip(part, found, strict=True):
                 ids = np.array(e.ids, self.kind)
-                ends = [*(np.flatnonzero(ids == mark) * size).tolist(), len(ids) * size]
-                raw, at = ids.tobytes(), 0
-                if len(ends) != len(g):
+                marks = np.flatnonzero(ids == mark[0]) * size if len(mark) == 1 else ()
+                if len(marks) != len(g) - 1:
                     known.update((u, self.whole(lead + u)) for u in g)
                     continue
-                for u, end in zip(g, ends, strict=True):
-                    known[u] = raw[at:end]
-                    at = end + size
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        first, later = self.first, self.later
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for lines in split:
-            for units in lines:
-                heads.add(units[0])
-                if len(units) > 1:
-                    tails.update(units[1:])
-        if len(first) + len(later) > self.most:
-            first.clear()
-            later.clear()
-        self._learn(heads - first.keys(), first, "")
-        self._learn(tails - later.keys(), later, " ")
-        out, line_end = [], self.line_end
-        for text, lines in zip(texts, split, strict=True):
-            try:
-                if any(s in text for s in self.special):
-                    raise TypeError
-                out.append(line_end.join([b"".join([first[u[0]], *[later[w] for w in u[1:]]]) for u in lines]))
-            except TypeError:  # a unit that can't stand by itself
-                out.append(self.whole(text))
-        return out
+                begins, ends = [0, *(marks + size).tolist()], [*marks.tolist(), len(ids) * size]
+                known.update(zip(g, map(ids.tobytes().__getitem__, map(slice, begins, ends)), strict=True))
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
+        """Rows that must stay whole; too many does no harm."""
+        n = len(data)
+        cut = _CUT[data]
+        at = np.zeros(n + 1, bool)
+        inner = np.ones(n, bool)
+        inner[offsets[:-1][offsets[:-1] < n]] = False  # not the first byte of a row
+        at[1:n] = cut[1:] & cut[:-1] & inner[1:]
+        at[:n] |= _BLANK[data]
+        at[:n] |= cut & ~inner
+        sizes = np.diff(offsets)
+        full = np.flatnonzero(sizes)
+        at[offsets[full + 1] - 1] |= cut[offsets[full + 1] - 1]
+        wide = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+        if len(wide):
+            a, b, c = data[wide], data[np.minimum(wide + 1, n - 1)], data[np.minimum(wide + 2, n - 1)]
+            hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+            hit |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+            at[wide[hit]] = True
+        for s in self.special:
+            k = raw.find(s)
+            while k >= 0:
+                at[k] = True
+                k = raw.find(s, k + 1)
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(at), "right") - 1)
+        return rows[(rows >= 0) & (rows < len(sizes))]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some rows of bytes, end_id after each row, and the bounds of the rows."""
+        rows, raw = len(offsets) - 1, data.tobytes()
+        s, e, row = word_bounds(data, offsets, _CUT)
+        if len(data):
+            points = np.flatnonzero(_POINT[data[1:]] & _LETTER[data[:-1]]) + 1
+            points = points[~np.isin(points, offsets)]
+            s, e = (np.sort(np.concatenate([x, points]), kind="stable") for x in (s, e))
+            row = np.searchsorted(offsets, s, "right") - 1
+        before = data[np.maximum(s - 1, 0)] if len(s) else s
+        first = s == offsets[row]
+        spaced, lined = ~first & (before == 0x20), ~first & (before == 0x0A)
+        odd = self._odd(data, offsets, raw) if len(data) else np.empty(0, np.int64)
+        if len(odd):
+            keep = ~np.isin(row, odd)
+            s, e, row, spaced, lined = s[keep], e[keep], row[keep], spaced[keep], lined[keep]
+        hashes = Hasher(data)(s, e) ^ np.where(spaced, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.plain) + len(self.spaced) > self.most:
+            self.plain.clear()
+            self.spaced.clear()
+        found: list[bytes] = []
+        place = np.empty(len(at), np.int64)
+        for known, lead, which in ((self.plain, b"", np.flatnonzero(~spaced[at])), (self.spaced, b" ", np.flatnonzero(spaced[at]))):
+            place[which] = np.arange(len(found), len(found) + len(which))
+            units = list(map(raw.__getitem__, map(slice, s[at[which]].tolist(), e[at[which]].tolist())))
+            ids = list(map(known.get, units))
+            if None in ids:
+                self._learn([u for u, x in zip(units, ids, strict=True) if x is None], known, lead)
+                ids = list(map(known.get, units))
+            found += ids
+        inverse = place[inverse]
+        size = self.kind.itemsize
+        length = np.array(list(map(len, found)), np.int64) // size
+        pool = np.frombuffer(b"".join(found), self.kind)
+        source = np.r_[0, np.cumsum(length)][:-1]
+        mark = len(self.line_end)
+        own = length[inverse]
+        full = own + mark * lined
+        per_row = np.bincount(row, full, rows).astype(np.int64) + 1
+        whole = {int(r): np.frombuffer(self.whole(raw[offsets[r] : offsets[r + 1]]), self.kind) for r in odd}
+        for r, ids in whole.items():
+            per_row[r] = len(ids) + 1
+        bounds = np.r_[0, np.cumsum(per_row)]
+        out = np.empty(int(bounds[-1]), self.kind if end_id < 1 << 16 else "<u4")
+        out[bounds[1:] - 1] = end_id
+        ahead = np.cumsum(full) - full
+        row_first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        within = ahead - np.repeat(ahead[row_first], np.diff(np.r_[row_first, len(row)])) if len(row) else ahead
+        dest = bounds[row] + within
+        for k in range(mark):
+            out[dest[lined] + k] = self.line_end[k]
+        dest = dest + mark * lined
+        total = int(own.sum())
+        shift = np.cumsum(own) - own
+        step = np.arange(total)
+        out[step + np.repeat(dest - shift, own)] = pool[step + np.repeat(source[inverse] - shift, own)]
+        for r, ids in whole.items():
+            out[bounds[r] : bounds[r + 1] - 1] = ids
+        return out, bounds
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -233,24 +324,21 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "d
     """
     rows = id_text(docs, id_col, text_col)
     doc_kind = dict(rows.dtypes)["doc_id"]
-    kind = _encoder(path).kind if end_id < 1 << 16 else "<u4"
+    kind = _encoder(path).kind.str if end_id < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail = _encoder(path), np.array([end_id], kind).tobytes()
+        coder, width = _encoder(path), np.dtype(kind).itemsize
         total = np.zeros(end_id + 1, np.int64)
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = coder.encode(part.column(1).to_pylist())
-                if coder.kind != kind:
-                    ids = [np.frombuffer(x, coder.kind).astype(kind).tobytes() for x in ids]
-                ids = [x + tail for x in ids]
-                counts = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            for lo, hi, data, at in slices(*text_buffers(batch.column(1)), 2 << 20):
+                ids, bounds = coder.encode(data, at, end_id)
+                counts = np.bincount(ids, minlength=len(total))
                 counts[: len(total)] += total
                 total = counts
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+                values = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values, pa.nulls(hi - lo, pa.binary())], ["doc_id", "ids", "counts"])
         if doc_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
@@ -315,7 +403,7 @@ def write_blocks(tokens: DataFrame, table: Table, id_kind: str = "<u4", block: i
         if ids:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, f"{BLOCK_SCHEMA}, docs array<{kind}>"), "blocks")
+    return materialize(ordered.mapInArrow(run, f"{BLOCK_SCHEMA}, docs array<{kind}>"), "blocks", "uncompressed")
 
 
 def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:

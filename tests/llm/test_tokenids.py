@@ -42,12 +42,14 @@ def test_many_rare_ids_fit_the_table():
     assert int(T.Table.of_counts(counts).freq.sum()) == 1 << T.BITS
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab é's1.\n\t   漢", max_size=40))
-def test_units_equal_the_whole(text):
-    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    coder = T._encoder(PATH)
-    assert np.frombuffer(coder.encode([text])[0], coder.kind).tolist() == want
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet="abAZ é's1.,!?;\n\t \u00a0\u2003\u3000\r漢\u2019", max_size=30), min_size=1, max_size=4))
+def test_units_equal_the_whole(texts):
+    lib = Tokenizer.from_file(PATH)
+    raw = [t.encode() for t in texts]
+    ids, at = T._encoder(PATH).encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])], 2)
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [lib.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
 def test_contract_on_whole_table(spark):
