@@ -73,20 +73,21 @@ def _expand(c: Column, table: dict[str, str]) -> Column:
     return F.array_join(F.transform(words(c), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
 
 
-def _plain(c: Column, ampersand: bool) -> Column:
-    c = F.lower(transliterate(text(c)))
+def _plain(c: Column, ampersand: bool, compose: bool = False) -> Column:
+    c = F.lower(transliterate(normal_form_c(text(c)) if compose else text(c)))
     if ampersand:
         c = F.replace(c, F.lit("&"), F.lit(" and "))
     return _spaced(F.regexp_replace(c, r"(?U)[^\w\s]", " "))
 
 
-def normalize_name(c: Column, expand: bool = True) -> Column:
-    c = _plain(c, True)
+def normalize_name(c: Column, expand: bool = True, compose: bool = False) -> Column:
+    """compose: for text with separate combining marks, compose them first (in Arrow batches)."""
+    c = _plain(c, True, compose)
     return _expand(c, NAME_ABBREVIATIONS) if expand else c
 
 
-def normalize_address(c: Column) -> Column:
-    return _expand(_plain(c, False), ADDRESS_ABBREVIATIONS)
+def normalize_address(c: Column, compose: bool = False) -> Column:
+    return _expand(_plain(c, False, compose), ADDRESS_ABBREVIATIONS)
 
 
 def _without(tokens: Column, stop: Iterable[str], least: int) -> Column:

@@ -144,3 +144,24 @@ def test_stream_of_queries(spark, tmp_path, parts):
     seen = []
     link_stream(spark.readStream.schema(queries.schema).parquet(str(tmp_path / "in")), targets, lambda df, _: seen.extend(df.select("s1_id", "target_id").collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(map(tuple, seen)) == sorted((r.s1_id, r.target_id) for r in P.link(queries, targets).matches.collect())
+
+
+def test_command_line(spark, tmp_path, parts):
+    import json
+    import zipfile
+
+    from tessera.__main__ import main
+
+    queries, targets = parts
+    every = queries.unionByName(targets)
+    for k in (1, 2, 3):
+        rows = every.filter(F.col("source") == k).orderBy("doc_idx").limit(40).select("entity_id", "business_name", "business_address", "country").collect()
+        (tmp_path / f"train_source{k}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join("\t".join(r) + "\n" for r in rows))
+        if k == 1:
+            (tmp_path / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{r.entity_id}\t\n" for r in rows))
+    main(["link", str(tmp_path), str(tmp_path / "out")])
+    with zipfile.ZipFile(tmp_path / "out" / "results.zip") as z:
+        assert [len(z.read(n).decode().splitlines()) for n in sorted(z.namelist())] == [41, 41]
+    main(["evaluate", str(tmp_path), str(tmp_path / "report")])
+    (part,) = (tmp_path / "report").glob("part-*")
+    assert json.loads(part.read_text())["singleton_total"] == 40

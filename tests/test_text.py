@@ -95,6 +95,10 @@ def test_subsequences_and_windows():
     assert S.best_window_ratio("", "") == 100.0 and S.best_window_ratio("", "a") == 0.0
 
 
+def test_composition(spark):
+    assert value(spark, lambda c: T.normalize_name(c, compose=True), "Cafe\u0301 Co") == "caf\u00e9 company"
+
+
 def test_set_similarities_of_empty_sides(spark):
     e = F.array().cast("array<string>")
     row = spark.range(1).select(S.jaccard(e, e).alias("j"), S.overlap(e, F.array(F.lit("a"))).alias("o"), S.ngram_jaccard(F.lit(""), F.lit(""), 3).alias("n"), S.ngram_jaccard(F.lit("ab"), F.lit("abc"), 3).alias("m")).first()
