@@ -356,9 +356,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     line_end = np.array(vocabulary.byte_ids[10:11] or [vocabulary.unknown], width).tobytes()
     held: dict[str, dict[str, bytes]] = {}
 
-    def frequent() -> dict[str, bytes]:
+    def frequent(kind: type[dict] = dict) -> dict[str, bytes]:
+        """A set is only subtracted fast from a plain dict."""
         if not held:
-            held["hot"] = _dictionary(pa.ipc.open_stream(shared.value).read_all())
+            held["hot"] = kind(_dictionary(pa.ipc.open_stream(shared.value).read_all()))
         return held["hot"]
 
     placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
@@ -378,8 +379,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = seen.setdefault(c, set())
                 size -= len(own)
+                found: set[str] = set()
                 for units in units_of(text):
-                    own |= set(units).difference(table)
+                    found.update(units)
+                own |= found.difference(table)
                 size += len(own)
                 if size > FLUSH:
                     yield flush()
@@ -404,14 +407,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     pieces = vocabulary.texts
 
     def finish(units: pa.Table, texts: pa.Table) -> pa.Table:
-        hot_units = frequent()
-        own = _dictionary(units)
+        both = frequent(Frequent)
+        both.own = _dictionary(units)
         out = []
         for value in texts.column("rows"):
             part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(value.as_py())).read_all().combine_chunks()
             found, sizes, same = [], [0], []
             for text in part.column("text").to_pylist():
-                raw = line_end.join([b"".join([hot_units.get(u) or own[u] for u in line]) for line in units_of(text)])
+                raw = line_end.join([b"".join(map(both.__getitem__, line)) for line in units_of(text)])
                 ids = np.frombuffer(raw, width)
                 found.append(ids)
                 sizes.append(len(ids))
@@ -427,6 +430,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return own.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, ids array<int>, restored boolean")
 
 
+class Frequent(dict):
+    """Ids of the frequent units; others are looked up in `own`, the dictionary of the chunk at hand."""
+
+    own: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.own[unit]
+
+
 def _packed(encoded: DataFrame, width: str) -> DataFrame:
     """(unit, n, ids) with ids as bytes."""
 
