@@ -8,6 +8,10 @@ length down to tau less. Lines that meet under a key carry a sketch of byte-clas
 2 tau at most; only members of a pair that passes it have their text fetched. The pairs are then verified with a banded
 bit-parallel edit distance, and each group passes on a spanning set of links, never all its pairs.
 
+Lines of LONG bytes or more are near-equal up to a tenth of the shorter one's bytes. Segments and windows for so many
+edits would outgrow the text (about tau ** 3 / 3 keys of a line), so beyond tau edits such lines meet under pairs of
+min-hashes of their byte 12-grams: within tau edits nothing is lost, beyond them a pair is found with high probability.
+
 Exact copies are one line (by a 64-bit hash) from the start, so a line that a million documents share costs one entry.
 Of each class of near-equal lines the first occurrence, by (doc_id, line number), is kept.
 """
@@ -27,7 +31,13 @@ from tessera.llm.kernel import Hasher, mix, slices, word_bounds
 TAU = 2
 LEAST = 20  # shorter lines are compared exactly
 BLOCK = 1024
-INDEX, PROBE = 1, 2
+LONG = 60  # from this length on, a tenth of the bytes may differ
+SHARE = 10
+GRAM = 12
+BANDS = 12  # keys of two min-hashes each
+PAIRS = 64  # most lines of a far key whose pairs are listed, to be compared once for all keys
+AGREE = 9  # least equal two-bit min-hashes, of 2 * BANDS, for the texts to be compared
+INDEX, PROBE, FAR = 1, 2, 4
 COUNTERS = 15
 FILTER_BITS = 23
 
@@ -103,6 +113,53 @@ def line_keys(hasher: Hasher, s: np.ndarray, e: np.ndarray, tau: int) -> Iterato
                 yield at[ok], key(at[ok], (start + shift)[ok], size[ok], length[ok], i), role
 
 
+def allowed(size: int, tau: int) -> int:
+    """Most edits between near-equal lines, the shorter one of this size."""
+    return max(tau, size // SHARE) if size >= LONG else tau
+
+
+_FACTORS = np.random.default_rng(20240502).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def far_keys(hasher: Hasher, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys [n, BANDS] of lines of LONG bytes or more, and their sketches: two bits of each min-hash over twelve of length."""
+    sizes = e - s - GRAM + 1
+    total = np.cumsum(sizes)
+    low = np.empty((len(s), 2 * BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        lo = 0
+        while lo < len(s):  # some lines at a time, so that their grams stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - sizes[lo] + (1 << 16), "right")))
+            size = sizes[lo:hi]
+            first = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) - np.repeat(first - s[lo:hi], size)
+            grams = hasher(at, at + GRAM)
+            for k in range(2 * BANDS):
+                low[lo:hi, k] = np.minimum.reduceat(grams * _FACTORS[k], first)
+            lo = hi
+        low = mix(low)
+        salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+        keys = mix(low[:, 0::2] * np.uint64(0xD1342543DE82EF95) + low[:, 1::2] + salt)
+    sketch = np.minimum(e - s, 4095).astype(np.uint64) << np.uint64(4)
+    for k in range(2 * BANDS):
+        sketch |= (low[:, k] & np.uint64(3)) << np.uint64(16 + 2 * k)
+    return keys, sketch
+
+
+def far_close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches of far keys allow near-equal lines."""
+    size = [((x >> np.uint64(4)) & np.uint64(4095)).astype(np.int64) for x in (a, b)]
+    short, long_ = np.minimum(*size), np.maximum(*size)
+    d = (a ^ b) >> np.uint64(16)
+    differ = np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x555555555555))
+    return ((long_ - short <= short // SHARE) | (long_ == 4095)) & (2 * BANDS - differ.astype(np.int64) >= AGREE)
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+    """Whether the sketches of two lines that meet under a key allow them to be near-equal."""
+    return np.where((a & b & np.uint64(FAR)) > 0, far_close(a, b), sketch_distance(a, b) <= 2 * tau)
+
+
 def edits_within(a: bytes, b: bytes, most: int) -> bool:
     """Whether the edit distance is at most `most`: bit-parallel (Hyyro), in a band around the diagonal."""
     if abs(len(a) - len(b)) > most:
@@ -127,6 +184,26 @@ def edits_within(a: bytes, b: bytes, most: int) -> bool:
             for k in range(1, rows + 1):
                 last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (a[k - 1] != c))
         return row[rows] <= most
+    if most > 8:  # a wide band: all rows at once (Myers)
+        masks = {}
+        for k, c in enumerate(a):
+            masks[c] = masks.get(c, 0) | 1 << k
+        full, top = (1 << rows) - 1, 1 << (rows - 1)
+        vp, vn, distance = full, 0, rows
+        for j, c in enumerate(b):
+            pm = masks.get(c, 0)
+            d0 = (((pm & vp) + vp) ^ vp) | pm | vn
+            hp = vn | (full & ~(d0 | vp))
+            hn = vp & d0
+            if hp & top:
+                distance += 1
+            elif hn & top:
+                distance -= 1
+            if distance - (len(b) - j - 1) > most:
+                return False
+            hp = hp << 1 | 1
+            vp, vn = ((hn << 1) | ~(d0 | hp)) & full, d0 & hp & full
+        return distance <= most
     # Bit k of the masks is row j + k - most of column j, for the 2 * most + 1 diagonals of the band.
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
@@ -192,6 +269,10 @@ def _filed(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
                 sketch = sketches(data, s, e)
                 for which, keys, role in line_keys(hasher, s, e, tau):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[which].view(np.int64)), pa.array((sketch[which] | np.uint64(role)).view(np.int64))], ["key", "id", "sketch"])
+                wide = e - s >= LONG
+                if wide.any():
+                    keys, sketch = far_keys(hasher, s[wide], e[wide])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[wide], BANDS).view(np.int64)), pa.array(np.repeat(sketch | np.uint64(FAR), BANDS).view(np.int64))], ["key", "id", "sketch"])
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "key long, id long, sketch long")
 
@@ -231,7 +312,10 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each key that belong to a pair whose sketches allow tau edits; all rows of a group over the block size."""
+    """Rows of each key that belong to a pair whose sketches allow near-equal lines; all rows of a group over the block size.
+
+    Of the smaller groups of far keys it lists the pairs instead: (id, id, 0).
+    """
     for table in _tables(batches, ["key"], 60_000):
         key, ids, sketch = (table.column(k).to_numpy() for k in ("key", "id", "sketch"))
         sketch = sketch.view(np.uint64)
@@ -242,6 +326,7 @@ def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int) -> Iterato
         size = end - g
         last = np.repeat(end, size)
         good = np.repeat(size > block, size)
+        listed = np.repeat(size <= PAIRS, size) & ((sketch & np.uint64(FAR)) > 0)
         at, shift = np.flatnonzero(np.repeat((size > 1) & (size <= block), size)), 1
         while True:
             at = at[at + shift < last[at]]
@@ -249,7 +334,11 @@ def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int) -> Iterato
                 break
             a, b = sketch[at], sketch[at + shift]
             met = ((a & np.uint64(INDEX)) & ((b >> np.uint64(1)) & np.uint64(1))) | ((b & np.uint64(INDEX)) & ((a >> np.uint64(1)) & np.uint64(1)))
-            hit = at[(met > 0) & (sketch_distance(a, b) <= 2 * tau)]
+            hit = at[((met > 0) | ((a & b & np.uint64(FAR)) > 0)) & may_be_near(a, b, tau)]
+            pair = hit[listed[hit]]
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[pair], ids[pair + shift])), pa.array(np.maximum(ids[pair], ids[pair + shift])), pa.array(np.zeros(len(pair), np.int64))], ["key", "id", "sketch"])
+            hit = hit[~listed[hit]]
             good[hit] = good[hit + shift] = True
             shift += 1
         good = np.flatnonzero(good)
@@ -291,7 +380,7 @@ def _texts(docs: DataFrame, text_col: str, ids: DataFrame, least: int) -> DataFr
 
 
 def _verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the pairs within tau edits, by group (key, lo, hi)."""
+    """Spanning links of the near-equal pairs, by group (key, lo, hi)."""
     for table in _tables(batches, ["key", "lo", "hi"], 20_000):
         cols = [table.column(k).to_numpy() for k in ("key", "lo", "hi")]
         ids, sketch, lines = table.column("id").to_numpy(), table.column("sketch").to_numpy().view(np.uint64), table.column("line")
@@ -312,9 +401,10 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Record
 
             own = sketch[a:b]
             for i in range(1, b - a):
-                near = np.flatnonzero(sketch_distance(own[:i], np.full(i, own[i])) <= 2 * tau)
+                near = np.flatnonzero(may_be_near(own[:i], np.full(i, own[i]), tau))
+                far = int(own[i]) & FAR
                 for j in near.tolist():
-                    if ids[a + i] != ids[a + j] and find(i) != find(j) and edits_within(text[i], text[j], tau):
+                    if ids[a + i] != ids[a + j] and find(i) != find(j) and edits_within(text[i], text[j], allowed(min(len(text[i]), len(text[j])), tau) if far else tau):
                         root[find(i)] = find(j)
                         out_a.append(ids[a + i])
                         out_b.append(ids[a + j])
@@ -322,20 +412,33 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _compared(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, text of a, text of b) that are near-equal."""
+    for batch in batches:
+        left, right = (batch.column(k).to_pylist() for k in (2, 3))
+        good = [edits_within(x, y, allowed(min(len(x), len(y)), tau)) for x, y in zip(left, right, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+
 def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between ids of different lines within tau edits, enough to join all that is reachable."""
+    """(a, b): links between ids of different near-equal lines, enough to join all that is reachable."""
     filed = _filed(docs, text_col, tau, least)
     members = filed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: _members(it, tau, 4 * block), "key long, id long, sketch long")
     # Of a large group that came in pieces, a line may repeat.
     members = materialize(members, "members")
-    texts = _texts(docs, text_col, members.select("id").distinct(), least)
+    pairs = materialize(members.filter("sketch = 0").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    members = members.filter("sketch <> 0")
+    wanted = members.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts(docs, text_col, wanted, least), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
+    compared = both.select("a", "b", "left", "right").mapInArrow(lambda it: _compared(it, tau), "a long, b long")
     sized = members.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     blocks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block)).cast("long")
     sized = sized.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = sized.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "sketch").join(texts, "id")
     placed = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return placed.mapInArrow(lambda it: _verified(it, tau), "a long, b long").distinct()
+    return placed.mapInArrow(lambda it: _verified(it, tau), "a long, b long").union(compared).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -24,6 +24,12 @@ def test_banded_distance(a, b, most):
     assert L.edits_within(a.encode(), b.encode(), most) == (levenshtein(a, b) <= most)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=40), st.text("ab", max_size=40), st.integers(9, 14))
+def test_wide_distance(a, b, most):
+    assert L.edits_within(a.encode(), b.encode(), most) == (levenshtein(a, b) <= most)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=20, max_size=60), st.lists(st.tuples(st.sampled_from("ids"), st.integers(0, 70), st.integers(0, 255)), max_size=2))
 def test_near_lines_share_a_key_and_pass_the_sketch(line, edits):
@@ -124,3 +130,29 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a\na"), (1, "a\na"), (2, "a")], "doc_id long, text string")
     assert sorted((r.doc_id, r.dropped) for r in L.report(df).collect()) == [(1, "1"), (1, "1"), (2, "0")]
     assert L.report(df.limit(0)).count() == 0 and L.deduplicated(df.limit(0)).count() == 0
+
+
+def test_longer_lines_may_differ_by_more(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(4000)]
+    lines = []
+    while len(lines) < 120:
+        line = " ".join(rng.choices(words, k=rng.choice([13, 40, 150])))
+        if 75 <= len(line) <= 1000:
+            lines.append(line)
+    rows, far = [], 0
+    for k, line in enumerate(lines):
+        cut = line.split(" ")
+        for at in rng.sample(range(len(cut)), max(1, len(cut) // 20)):
+            cut[at] = rng.choice(words)
+        other = " ".join(cut)
+        far += 2 < levenshtein(line.encode(), other.encode()) <= min(len(line), len(other)) // 10
+        rows += [(2 * k, line), (2 * k + 1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in L.report(df).collect() if r.n_near}
+    assert far > 80 and not any(d % 2 == 0 for d in got)
+    near = {2 * k + 1 for k in range(len(lines)) if L.edits_within(rows[2 * k][1].encode(), rows[2 * k + 1][1].encode(), L.allowed(min(len(rows[2 * k][1]), len(rows[2 * k + 1][1])), 2)) and rows[2 * k][1] != rows[2 * k + 1][1]}
+    assert got <= near and len(got) >= 0.97 * len(near)
+    spaceless = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(100))
+    df = spark.createDataFrame([(1, spaceless), (2, spaceless[:50] + "abc" + spaceless[54:])], "doc_id long, text string")
+    assert [r.n_near for r in L.report(df).orderBy("doc_id").collect()] == [0, 1]
