@@ -5,11 +5,14 @@ stay, in lower case. Windows of five template words are hash-joined with those o
 with other numbers or names still meets its original. A document contains an item if at least 0.8 of the item's
 different windows occur in it, and if its slots are consistent: nearly every slot value of the item must always stand
 for the same value in the document (0.8 of all slot places), as it does in a re-parameterised question and not in text
-that merely has the same shape. Windows of fewer than two plain words are no evidence and are left out on both sides.
+that merely has the same shape. Consistency is that of one occurrence: windows of document and item are aligned by their
+positions, so that neither a second question of the same template nor a window that recurs in the item counts against it;
+only an item whose windows lie scattered is judged over the whole document. Windows of fewer than two plain words are no evidence and are left out on both sides.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -109,7 +112,7 @@ def _slots(data: np.ndarray, at: int, s: np.ndarray, e: np.ndarray, kind: np.nda
 
 
 def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(key, win, slots): different windows of each text with the values of their placeholders; only wanted ones, if given."""
+    """(key, win, place, slots): windows of each text, the number of their first word and the values of their placeholders; only wanted ones, if given."""
     kind = dict(rows.dtypes)["key"]
     packed = None if wanted is None else wanted.tobytes()
 
@@ -121,6 +124,7 @@ def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         for batch in batches:
             for lo, _, data, at in slices(*text_buffers(batch.column(1))):
                 win, first, row, s, e, types = windows(data, at)
+                begin = np.searchsorted(s, at)  # first word of each row
                 if known is not None:
                     if not len(known):
                         continue
@@ -128,9 +132,62 @@ def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                     maybe = maybe[_in(win[maybe], known)]
                     win, first, row = win[maybe], first[maybe], row[maybe]
                 values = [_slots(data, k, s, e, types) for k in first.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(win.view(np.int64)), pa.array(values, pa.list_(pa.string()))], ["key", "win", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(win.view(np.int64)), pa.array(first - begin[row], pa.int64()), pa.array(values, pa.list_(pa.string()))], ["key", "win", "place", "slots"])
 
-    return rows.mapInArrow(run, f"key {kind}, win long, slots array<string>").distinct()
+    return rows.mapInArrow(run, f"key {kind}, win long, place long, slots array<string>").distinct()
+
+
+def _slot_counts(asked: list, slots: list) -> tuple[float, bool]:
+    """Share of the slot places that hold the commonest value for what the item has there, and whether all hold the item's own."""
+    answers: dict[str, Counter] = {}
+    for x, y in zip(asked, slots, strict=True):
+        for a, b in zip(x, y, strict=True):
+            answers.setdefault(a, Counter())[b] += 1
+    total = sum(sum(c.values()) for c in answers.values())
+    right = sum(max(c.values()) for c in answers.values())
+    return (right / total if total else 1.0), all(set(c) == {a} for a, c in answers.items())
+
+
+def best_occurrence(place: np.ndarray, item_place: np.ndarray, win: np.ndarray, asked: list, slots: list, n: int, least: float) -> tuple[float, bool]:
+    """(consistency, exact) of the best occurrence of an item of n different windows among its matches in one document.
+
+    An occurrence lies around one offset of document to item: each window of the item takes the match of the nearest
+    offset, at most the item's length away (for inserted or missing words). It counts if it covers the item. The whole
+    document counts as one more, of all different matches.
+    """
+    different = {(w, tuple(a), tuple(b)) for w, a, b in zip(win.tolist(), asked, slots, strict=True)}
+    best = _slot_counts([x[1] for x in different], [x[2] for x in different])
+    offset = place - item_place
+    order = np.lexsort((item_place, offset))
+    offset, item_place, win = offset[order], item_place[order], win[order]
+    span = int(item_place.max()) - int(item_place.min()) + WORDS
+    for o in np.unique(offset).tolist():
+        if best == (1.0, True):
+            break
+        lo, hi = np.searchsorted(offset, [o - span, o + span + 1])
+        near = np.argsort(np.abs(offset[lo:hi] - o), kind="stable") + lo
+        _, first = np.unique(item_place[near], return_index=True)
+        at = near[first]
+        if len(np.unique(win[at])) >= least * n:
+            at = order[at].tolist()
+            best = max(best, _slot_counts([asked[k] for k in at], [slots[k] for k in at]))
+    return best
+
+
+def _judged(pairs: DataFrame, least: float) -> DataFrame:
+    """(key, item, consistency, exact) of pairs (key, item, n, win, place, item_place, asked, slots)."""
+    kind = {f.name: f.dataType for f in pairs.schema.fields}
+    rows = pairs.groupBy("key", "item", "n").agg(F.collect_list(F.struct("win", "place", "item_place", "asked", "slots")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, matches in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                win, place, item_place = (np.array([m[k] for m in matches], np.int64) for k in ("win", "place", "item_place"))
+                out.append(best_occurrence(place, item_place, win, [m["asked"] for m in matches], [m["slots"] for m in matches], n, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.bool_())], ["key", "item", "consistency", "exact"])
+
+    return rows.mapInArrow(run, f"key {kind['key'].simpleString()}, item {kind['item'].simpleString()}, consistency double, exact boolean")
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -150,19 +207,16 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("rkey")).alias("key"), text.alias("text"))
     found = materialize(_window_rows(rows, wanted), "windows")
     totals = asked.groupBy("key").agg(F.countDistinct("win").alias("n"))
-    asked = asked.select(F.col("key").alias("item"), "win", F.col("slots").alias("asked"))
-    pairs = found.join(asked, "win")
-    covered = pairs.groupBy("key", "item").agg(F.countDistinct("win").alias("met"))
+    asked = asked.select(F.col("key").alias("item"), "win", F.col("place").alias("item_place"), F.col("slots").alias("asked"))
+    covered = found.select("key", "win").distinct().join(asked.select("item", "win").distinct(), "win").groupBy("key", "item").agg(F.count("*").alias("met"))
     covered = covered.join(totals.withColumnRenamed("key", "item"), "item").filter(F.col("met") >= least * F.col("n"))
-    covered = covered.select("key", "item", (F.col("met") / F.col("n")).alias("coverage"))
-    # Each slot value of the item, and the values that stand in its place: the commonest one counts as right.
-    slots = pairs.join(covered.select("key", "item"), ["key", "item"], "left_semi")
-    slots = slots.select("key", "item", F.explode(F.arrays_zip("asked", "slots")).alias("z")).groupBy("key", "item", "z.asked", "z.slots").agg(F.count("*").alias("n"))
-    slots = slots.groupBy("key", "item", "asked").agg(F.max("n").alias("right"), F.sum("n").alias("all"), F.sum(F.when(F.col("asked") == F.col("slots"), F.col("n")).otherwise(0)).alias("same"))
-    slots = slots.groupBy("key", "item").agg((F.sum("right") / F.sum("all")).alias("consistency"), (F.sum("same") == F.sum("all")).alias("exact"))
-    out = covered.join(slots, ["key", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    covered = materialize(covered.select("key", "item", "n", (F.col("met") / F.col("n")).alias("coverage")), "covered")
+    # Only of items that a document covers do the matches meet with their places.
+    pairs = found.join(covered.select("key", "item", "n"), "key").join(asked, ["item", "win"])
+    slots = _judged(pairs.select("key", "item", "n", "win", "place", "item_place", "asked", "slots"), least)
+    out = covered.join(slots, ["key", "item"])
     out = out.filter(F.col("consistency") >= least)
-    return out.select("key.doc_id", F.col("key.rkey").alias("rkey"), F.col("item").alias("item_id"), "coverage", "consistency", F.coalesce("exact", F.lit(True)).alias("exact"))
+    return out.select("key.doc_id", F.col("key.rkey").alias("rkey"), F.col("item").alias("item_id"), "coverage", "consistency", "exact")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,3 +71,18 @@ def test_whole_table_against_brute_force(spark):
         want |= {(r.doc_id, i) for i, x in items.items() if x and len(x & w) >= 0.8 * len(x)}
     got = {(r.doc_id, r.item_id) for r in D.contained(docs, bench).collect()}
     assert got == want and got
+
+
+def test_consistency_is_that_of_one_occurrence(spark):
+    sibling = ITEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "90").replace("5", "8").replace("3 kg", "40 pounds")
+    third = ITEM.replace("Alice", "Erin").replace("Bob", "Gus").replace("12", "17").replace("5", "6").replace("3 kg", "22 grams")
+    choices = "How many are drawn: 3 of the red balls or 4 of the red balls or 5 of the red balls or 6 of the red balls?"
+    cut = ITEM.replace("then Alice sells", "then right away Alice sells")
+    rows = [(1, f"{ITEM} {sibling} {third}"), (2, f"x. {sibling} {third}"), (3, f"Well. {choices}"), (4, f"{cut} {sibling}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(100, ITEM), (101, choices)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contained(docs, bench).collect()}
+    assert {(1, 100), (2, 100), (3, 101)} <= set(got)
+    assert got[1, 100].exact and got[3, 101].exact and not got[2, 100].exact
+    assert got[1, 100].consistency == got[3, 101].consistency == 1.0
+    assert {r.doc_id for r in D.clean(docs, bench).collect()} <= {4}
