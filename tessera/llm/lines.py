@@ -40,6 +40,7 @@ AGREE = 9  # least equal two-bit min-hashes, of 2 * BANDS, for the texts to be c
 INDEX, PROBE, FAR = 1, 2, 4
 COUNTERS = 15
 FILTER_BITS = 23
+SEEN_BITS = 20
 
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
@@ -255,9 +256,11 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _filed(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
-    """(key, id, sketch): the low four bits of the sketch hold the role; copies within a slice are one."""
+    """(key, id, sketch): the low four bits of the sketch hold the role; copies within a slice are one, and so are nearly all within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed = np.zeros(1 << SEEN_BITS, np.uint64)  # the last line of each slot, so that a hot line is filed about once a task
+        filed[0] = 1
         for batch in batches:
             for _, _, data, at in slices(*text_buffers(batch.column(0))):
                 s, e, _, _ = line_bounds(data, at)
@@ -265,6 +268,10 @@ def _filed(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
                 s, e = s[long_], e[long_]
                 hasher = Hasher(data)
                 ids, first = np.unique(hasher(s, e), return_index=True)
+                slot = (ids & np.uint64((1 << SEEN_BITS) - 1)).astype(np.int64)
+                fresh = filed[slot] != ids
+                filed[slot] = ids
+                ids, first = ids[fresh], first[fresh]
                 s, e = s[first], e[first]
                 sketch = sketches(data, s, e)
                 for which, keys, role in line_keys(hasher, s, e, tau):
@@ -277,8 +284,8 @@ def _filed(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "key long, id long, sketch long")
 
 
-def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole groups; a group of over `rows` rows comes in pieces."""
+def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, cuts: list | None = None) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups; a group of over 4 * `rows` rows comes in pieces, and cuts gets its key first."""
     kept: list[pa.Table] = []
     held = 0
     for batch in batches:
@@ -298,6 +305,8 @@ def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> It
         if cut:
             yield table.slice(0, cut)
         elif held >= 4 * rows:
+            if cuts is not None:
+                cuts[:] = [tuple(table.column(k)[0].as_py() for k in keys)]
             yield table
             cut = held
         kept, held = [table.slice(cut)], held - cut
@@ -312,11 +321,13 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each key that belong to a pair whose sketches allow near-equal lines; all rows of a group over the block size.
+    """Rows of each key that belong to a pair whose sketches allow near-equal lines; all rows of a group over the block size,
+    or of one that came in pieces, since its pairs may lie in different pieces.
 
     Of the smaller groups of far keys it lists the pairs instead: (id, id, 0).
     """
-    for table in _tables(batches, ["key"], 60_000):
+    cuts: list[tuple[int]] = []
+    for table in _tables(batches, ["key"], 60_000, cuts):
         key, ids, sketch = (table.column(k).to_numpy() for k in ("key", "id", "sketch"))
         sketch = sketch.view(np.uint64)
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
@@ -326,6 +337,8 @@ def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int) -> Iterato
         size = end - g
         last = np.repeat(end, size)
         good = np.repeat(size > block, size)
+        if cuts:
+            good |= key == cuts[0][0]
         listed = np.repeat(size <= PAIRS, size) & ((sketch & np.uint64(FAR)) > 0)
         at, shift = np.flatnonzero(np.repeat((size > 1) & (size <= block), size)), 1
         while True:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,3 +157,13 @@ def test_longer_lines_may_differ_by_more(spark):
     spaceless = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(100))
     df = spark.createDataFrame([(1, spaceless), (2, spaceless[:50] + "abc" + spaceless[54:])], "doc_id long, text string")
     assert [r.n_near for r in L.report(df).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_a_key_in_pieces_keeps_all_its_lines():
+    ids = np.repeat([1, 2, 3], [240_000, 240_000, 7])
+    key = np.r_[np.full(len(ids), 7), 8]
+    ids = np.r_[ids, 4]
+    sketch = np.full(len(ids), L.INDEX | L.PROBE)
+    batches = pa.table({"key": key, "id": ids, "sketch": sketch}).to_batches(max_chunksize=10_000)
+    got = pa.Table.from_batches(list(L._members(iter(batches), 2, 4096)))
+    assert {(k, i) for k, i in zip(got["key"].to_pylist(), got["id"].to_pylist())} == {(7, 1), (7, 2), (7, 3)}
