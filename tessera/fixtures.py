@@ -14,9 +14,17 @@ def part_entities(spark: SparkSession, sf_dir: str, country: str = "p_brand") ->
 
 
 def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: the first line is the name, the last one the address."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = (1 + F.col("doc_id") % 3).cast("int")
-    return d.select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("doc_id").cast("long").alias("doc_idx"), F.col("lang").alias("country"), F.substring("text", 1, 60).alias("business_name"), F.substring("text", 61, 80).alias("business_address"))
+    return d.select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("doc_id").cast("long").alias("doc_idx"), F.col("lang").alias("country"), F.substring_index("text", "\n", 1).alias("business_name"), F.substring_index("text", "\n", -1).alias("business_address"))
+
+
+def part_truth(spark: SparkSession, sf_dir: str, country: str = "p_brand") -> DataFrame:
+    """(s1_id, target_id): parts of sources 2 and 3 with the same country and name."""
+    queries, targets = sides(part_entities(spark, sf_dir, country))
+    left = queries.select(F.col("entity_id").alias("s1_id"), "country", "business_name")
+    return left.join(targets.select(F.col("entity_id").alias("target_id"), "country", "business_name"), ["country", "business_name"]).select("s1_id", "target_id")
 
 
 def doc_truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,20 +73,23 @@ def _expand(c: Column, table: dict[str, str]) -> Column:
     return F.array_join(F.transform(words(c), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
 
 
-def _plain(c: Column, ampersand: bool, compose: bool = False) -> Column:
-    c = F.lower(transliterate(normal_form_c(text(c)) if compose else text(c)))
+def _plain(c: Column, ampersand: bool, compose: bool = True) -> Column:
+    c = text(c)
+    if compose:  # only texts with separate marks go to Python; the others are null there
+        c = F.coalesce(normal_form_c(F.when(c.rlike(r"\p{M}"), c)), c)
+    c = F.lower(transliterate(c))
     if ampersand:
         c = F.replace(c, F.lit("&"), F.lit(" and "))
     return _spaced(F.regexp_replace(c, r"(?U)[^\w\s]", " "))
 
 
-def normalize_name(c: Column, expand: bool = True, compose: bool = False) -> Column:
-    """compose: for text with separate combining marks, compose them first (in Arrow batches)."""
+def normalize_name(c: Column, expand: bool = True, compose: bool = True) -> Column:
+    """compose: join separate combining marks with their letters first (in Arrow batches)."""
     c = _plain(c, True, compose)
     return _expand(c, NAME_ABBREVIATIONS) if expand else c
 
 
-def normalize_address(c: Column, compose: bool = False) -> Column:
+def normalize_address(c: Column, compose: bool = True) -> Column:
     return _expand(_plain(c, False, compose), ADDRESS_ABBREVIATIONS)
 
 
@@ -125,10 +128,11 @@ def index_tokens(c: Column, stop: Iterable[str] = TOKEN_STOPWORDS, cleaned: bool
 
 
 def phonetic(c: Column) -> Column:
-    c = F.lower(text(c))
+    c = whole = F.lower(text(c))
     for said, meant in PHONETIC.items():
         c = F.regexp_replace(c, rf"(?U)\b{said}\b", meant)
-    return c
+    # Most texts hold none of the words: one look instead of a dozen.
+    return F.when(whole.rlike(rf"(?U)\b(?:{'|'.join(PHONETIC)})\b"), c).otherwise(whole)
 
 
 def _key_text(c: Column) -> Column:

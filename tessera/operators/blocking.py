@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.constants import ADDRESS_WEIGHT, COMPACT_WEIGHT, NAME_WEIGHT, NUMBER_WEIGHT, TOKEN_STOPWORDS
 from tessera.functions import text as T
+from tessera.operators.staging import staged
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def tall_keys(entities: DataFrame, index: Index) -> DataFrame:
 
 
 def postings(targets: DataFrame, index: Index = MULTI_CHANNEL) -> DataFrame:
-    rows = tall_keys(targets, index)
+    rows = staged(tall_keys(targets, index))  # read twice: for the counts, and to be joined with them
     group = ["country", "source", "channel", "key"]
     pick = lambda f, default: F.coalesce(*(F.when(F.col("channel") == c, f(x)) for c, x in index.channels.items()), F.lit(default))
     most = 2**62
@@ -91,6 +92,13 @@ def candidates(queries: DataFrame, targets: DataFrame, index: Index = MULTI_CHAN
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= index.k)
 
 
+def met_channels(queries: DataFrame, targets: DataFrame, index: Index) -> DataFrame:
+    """(s1_id, source, met): the channels in which a key of the query is one of the source's postings."""
+    asked = tall_keys(queries.withColumn("source", F.lit(1)), replace(index, pooled=True)).select("country", "channel", "key", F.col("entity_id").alias("s1_id"))
+    known = postings(targets, index).select("country", "source", "channel", "key").distinct()
+    return asked.join(known, ["country", "channel", "key"]).groupBy("s1_id", "source").agg(F.collect_set("channel").alias("met"))
+
+
 def candidate_lists(queries: DataFrame, found: DataFrame) -> DataFrame:
     """(s1_id, s1_idx, ids): one row for every query, its candidates by source and rank, maybe none."""
     lists = found.groupBy("s1_id", "s1_idx").agg(F.array_sort(F.collect_list(F.struct("source", "rank", "target_id"))).alias("found"))

@@ -123,13 +123,14 @@ def hashed(*parts: Column) -> Column:
 def bootstrap(scores: DataFrame, column: str = "f05", repeats: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean, population deviation and 2.5 and 97.5 percentiles of the means of resamples with replacement.
 
-    Each draw of each repeat picks a row by a hash of (seed, repeat, draw). The draws are joined to the few scored rows.
+    Each draw of each repeat picks a row by a hash of (seed, repeat, draw), rows being numbered in the order of a hash of
+    their id.
     """
-    from pyspark.sql import Window
+    from tessera.operators.learn import placed_by_hash
 
     spark = scores.sparkSession
-    rows = scores.select(F.col(column).cast("double").alias("v"), (F.row_number().over(Window.orderBy("s1_id")) - 1).cast("long").alias("at"))
-    n = scores.count()
+    rows, n = placed_by_hash(scores.select("s1_id", F.col(column).cast("double").alias("v")), "s1_id", seed)
+    rows = rows.select("v", (F.col("place") - 1).cast("long").alias("at"))
     draws = spark.range(repeats * n).select((F.col("id") / F.lit(max(n, 1))).cast("long").alias("rep"), (F.col("id") % max(n, 1)).alias("draw"))
     draws = draws.select("rep", (hashed(F.lit(seed), F.col("rep"), F.col("draw")) % max(n, 1)).alias("at"))
     means = draws.join(rows, "at").groupBy("rep").agg(F.avg("v").alias("m"))

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluate import hashed
 
 
-def shuffled(df: DataFrame, by: str, id_col: str, seed: int = 42) -> DataFrame:
-    """Adds `place`: the row's rank from 1 within its group in an order by a hash of (id, seed), the same on any partitioning."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(hashed(F.col(id_col), F.lit(seed)), id_col)))
+def first_by_hash(df: DataFrame, by: str, most: Column, id_col: str, seed: Column) -> DataFrame:
+    """Adds `place`: the rank from 1, within the group, of rows in an order by a hash of (id, seed); null beyond the first `most`.
+
+    The hash's high bits are counted first, so that only the rows up to the bucket in which a group's last place lies
+    are sorted, whatever the size of the group.
+    """
+    rows = df.withColumn("__h", hashed(F.col(id_col), seed)).withColumn("__b", F.shiftright("__h", 44)).withColumn("__most", most)
+    sizes = rows.groupBy(by, "__b").agg(F.count("*").alias("n"), F.max("__most").alias("most"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy("__b")) - F.col("n")  # at most 65536 rows of a group
+    last = sizes.withColumn("before", before).filter(F.col("before") < F.col("most")).groupBy(by).agg(F.max("__b").alias("__last"))
+    rows = rows.withColumn("__by", F.col(by)).join(last.withColumnRenamed(by, "__g"), F.col("__by").eqNullSafe(F.col("__g")), "left").drop("__g")
+    near = F.col("__b") <= F.coalesce("__last", F.lit(-1))
+    ranked = rows.filter(near).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("__h", id_col)))
+    ranked = ranked.withColumn("place", F.when(F.col("place") <= F.col("__most"), F.col("place")))
+    rest = rows.filter(~near).withColumn("place", F.lit(None).cast("int"))
+    return ranked.unionByName(rest).drop("__h", "__b", "__most", "__by", "__last")
 
 
 def stratified_sample(df: DataFrame, n: int = 20_000, by: str = "country", id_col: str = "entity_id", seed: int = 42) -> DataFrame:
     """Exactly min(n, size) rows of each group."""
-    return shuffled(df, by, id_col, seed).filter(F.col("place") <= n).drop("place")
+    return first_by_hash(df, by, F.lit(n), id_col, F.lit(seed)).filter("place is not null").drop("place")
+
+
+def placed_by_hash(df: DataFrame, id_col: str, seed: int) -> tuple[DataFrame, int]:
+    """df with `place`, the rank from 1 of each row in hash order, and the number of rows; no row is ranked in one task."""
+    rows = df.withColumn("__h", hashed(F.col(id_col), F.lit(seed))).withColumn("__b", F.shiftright("__h", 44))
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("n"))
+    ahead = sizes.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__before"))  # at most 65536 rows
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", id_col))
+    return rows.join(F.broadcast(ahead), "__b").withColumn("place", place).drop("__h", "__b", "__before"), df.count()
 
 
 def train_val_split(df: DataFrame, share: float = 0.8, id_col: str = "entity_id", seed: int = 42) -> DataFrame:
@@ -23,23 +45,16 @@ def train_val_split(df: DataFrame, share: float = 0.8, id_col: str = "entity_id"
 
     The cut is a quantile of the hashes, so no row is ranked in one task.
     """
-    rows = df.withColumn("h", hashed(F.col(id_col), F.lit(seed)))
-    ranked = rows.select("h").withColumn("bucket", F.shiftright("h", 44))
-    sizes = ranked.groupBy("bucket").agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("before", F.sum("n").over(Window.orderBy("bucket")) - F.col("n"))  # at most 65536 rows
-    total = df.count()
-    keep = int(total * share)
-    rows = rows.withColumn("bucket", F.shiftright("h", 44)).join(F.broadcast(ahead.select("bucket", "before")), "bucket")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("h", id_col))
-    return rows.withColumn("split", F.when(place <= keep, "train").otherwise("val")).drop("h", "bucket", "before")
+    rows, total = placed_by_hash(df, id_col, seed)
+    return rows.withColumn("split", F.when(F.col("place") <= int(total * share), "train").otherwise("val")).drop("place")
 
 
 def holdout_splits(df: DataFrame, sizes: dict[str, tuple[int, int]], by: str = "country", id_col: str = "entity_id", seed: int = 42) -> DataFrame:
     """Adds `split`: by group, the first rows in hash order are hidden, the next dev, the rest train. sizes: group -> (hidden, dev)."""
     hidden = F.coalesce(*(F.when(F.col(by) == g, F.lit(h)) for g, (h, _) in sizes.items()), F.lit(0))
     dev = F.coalesce(*(F.when(F.col(by) == g, F.lit(d)) for g, (_, d) in sizes.items()), F.lit(0))
-    rows = shuffled(df, by, id_col, seed)
-    split = F.when(F.col("place") <= hidden, "hidden_test").when(F.col("place") <= hidden + dev, "dev").otherwise("train_pool")
+    rows = first_by_hash(df, by, hidden + dev, id_col, F.lit(seed))
+    split = F.when(F.col("place") <= hidden, "hidden_test").when(F.col("place").isNotNull(), "dev").otherwise("train_pool")
     return rows.withColumn("split", split).drop("place")
 
 
@@ -77,8 +92,8 @@ def seed_stability(universe: DataFrame, truth: DataFrame, seeds: tuple[int, ...]
     """(seed, n, singletons, singleton_rate, mean_links, std_links, first_ids) of a sample drawn with each seed."""
     links = truth.select("s1_id", "target_id").distinct().groupBy("s1_id").agg(F.count("*").alias("links"))
     rows = universe.select("s1_id").join(links, "s1_id", "left").fillna(0)
-    rows = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("h", hashed(F.col("s1_id"), F.col("seed")))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("h", "s1_id"))).filter(F.col("place") <= sample)
+    rows = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    rows = first_by_hash(rows, "seed", F.lit(sample), "s1_id", F.col("seed")).filter("place is not null")
     first = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "s1_id")))), lambda x: x["s1_id"])
     single = F.count_if(F.col("links") == 0)
     return rows.groupBy("seed").agg(F.count("*").alias("n"), single.alias("singletons"), (single / F.count("*")).alias("singleton_rate"), F.avg("links").alias("mean_links"), F.stddev_samp("links").alias("std_links"), F.array_join(first, ",").alias("first_ids"))
@@ -104,7 +119,7 @@ def empty_rate(universe: DataFrame, predictions: DataFrame, column: str = "count
     return rows.groupBy(column).agg(F.count("*").alias("n"), F.count_if(F.col("hit").isNull()).alias("n_empty")).withColumn("rate", F.col("n_empty") / F.col("n"))
 
 
-def fit_classifier(train: DataFrame, names: list[str], rounds: int = 60, depth: int = 7, step: float = 0.06, seed: int = 42):
+def fit_classifier(train: DataFrame, names: list[str], rounds: int = 800, depth: int = 7, step: float = 0.06, seed: int = 42):
     """Gradient-boosted trees over the features; an optional boolean column `validation` stops them early."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier

@@ -21,14 +21,16 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def scored_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, boost: bool = True, null_as_nan: bool = False) -> DataFrame:
-    """pairs with `sim`: the token set ratio of the full strings, lifted where one compact string holds the other."""
+def scored_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, boost: bool = True, null_as_nan: bool = False, keep: bool = False) -> DataFrame:
+    """pairs with `sim`: the token set ratio of the full strings, lifted where one compact string holds the other; keep: with that fact as `held`."""
     left = with_strings(queries, null_as_nan).select(F.col("entity_id").alias("s1_id"), F.col("full").alias("a"), F.col("full_compact").alias("ac"))
     right = with_strings(targets, null_as_nan).select(F.col("entity_id").alias("target_id"), F.col("full").alias("b"), F.col("full_compact").alias("bc"))
     rows = pairs.join(left, "s1_id").join(right, "target_id")
     rows = spread(rows, "s1_id", "target_id").withColumn("sim", S.token_set_ratio(F.col("a"), F.col("b")))
     if boost:
         rows = rows.withColumn("sim", S.boosted(F.col("sim"), F.col("ac"), F.col("bc"), BOOST))
+    if keep:
+        rows = rows.withColumn("held", S.contains_either(F.col("ac"), F.col("bc")))
     return rows.withColumn("sim", F.round("sim", 6)).drop("a", "b", "ac", "bc")
 
 

@@ -9,9 +9,11 @@ def _entities(name: str, table: str, key: str, country: str, n: str, a: str) ->
     return f"{name} as (select 'S' || (1 + {key} % 3) || '-' || {key} entity_id, (1 + {key} % 3)::int source, {key} doc_idx, {country} country, {n} business_name, {a} business_address from {table})"
 
 
-DOCS = _entities("e", "documents", "doc_id", "lang", "substr(text, 1, 60)", "substr(text, 61, 80)")
+DOCS = _entities("e", "documents", "doc_id", "lang", "string_split(text, chr(10))[1]", "string_split(text, chr(10))[-1]")
 PARTS = _entities("e", "part", "p_partkey", "p_brand", "p_name", "p_size || ' ' || p_type || ' ' || p_brand")
 PARTS_BY_TYPE = _entities("e", "part", "p_partkey", "p_type", "p_name", "p_size || ' ' || p_type || ' ' || p_brand")
+PART_TRUTH = """t as (select a.entity_id s1_id, b.entity_id target_id from e a join e b using (country, business_name) where a.source = 1 and b.source > 1),
+u as (select entity_id s1_id, country, business_name from e where source = 1)"""
 TRUTH = """d as (select (1 + doc_id % 3) source, doc_id, lang, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) mark from documents),
 t as (select 'S1-' || a.doc_id s1_id, 'S' || b.source || '-' || b.doc_id target_id from d a join d b on a.lang = b.lang and a.mark = b.mark where a.source = 1 and b.source > 1),
 u as (select entity_id s1_id, country, business_name from e where source = 1)""".replace("\\\\", "\\")
@@ -137,7 +139,8 @@ def lists_sql(view: str, index: dict, k: int) -> str:
     return f"with {view}, {_found(index, k)}, l as (select s1_id, string_agg(target_id, ',' order by source, rank) ids from f group by s1_id) select entity_id source1_entity_id, coalesce(ids, '') candidate_entity_ids, doc_idx s1_idx from e left join l on l.s1_id = e.entity_id where source = 1"
 
 
-NEAR = "n as (select a.entity_id s1_id, b.entity_id target_id from e a join e b on b.doc_idx in (a.doc_idx + 1, a.doc_idx + 2) where a.source = 1 and b.source > 1)"
+def _pairs(index: dict, k: int) -> str:
+    return f"{_found(index, k)}, n as (select s1_id, target_id from f)"
 
 
 def jaccard(a: str, b: str) -> str:
@@ -161,33 +164,60 @@ def contains_either(a: str, b: str) -> str:
 
 
 def pair_sets_sql() -> str:
-    return f"""with {DOCS}, {NEAR}, k as (select entity_id, {index_tokens('business_name')} t, lower(business_name) s from e)
+    return f"""with {DOCS}, {_pairs(V3, 25)}, kk as (select entity_id, {index_tokens('business_name')} t, lower(business_name) s from e)
 select n.s1_id, n.target_id, round({jaccard('a.t', 'b.t')}, 9) jaccard, round({overlap('a.t', 'b.t')}, 9) overlap, round({gram_jaccard('a.s', 'b.s', 3)}, 9) ngram3, {contains_either('a.s', 'b.s')} contained
-from n join k a on a.entity_id = n.s1_id join k b on b.entity_id = n.target_id"""
+from n join kk a on a.entity_id = n.s1_id join kk b on b.entity_id = n.target_id"""
 
 
 def lcs(a: str, b: str) -> str:
-    """The table of the longest common subsequence, row by row."""
-    inner = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j::int]), lambda r, j: list_append(r, case when unicode(substr({b}, j[1], 1)) = ch[1] then acc[j[1]] + 1 else greatest(r[length(r)], acc[j[1] + 1]) end), [0::int])"
-    rows = f"list_reduce(list_transform(string_split({a}, ''), lambda x: [unicode(x)::int]), lambda acc, ch: {inner}, list_transform(range(0, length({b}) + 1), lambda z: 0::int))"
-    return f"case when {a} = '' or {b} = '' then 0 else list_last({rows}) end"
+    """Length of the longest common subsequence of strings of up to 60 characters: a row of the table is a word of bits."""
+    full = (1 << 60) - 1
+    at = f"coalesce(list_sum(list_transform(range(0, length({a})), lambda i: case when substr({a}, (i + 1)::int, 1) = c then 1::bigint << i::int else 0::bigint end)), 0)::bigint"
+    masks = f"list_transform(string_split({b}, ''), lambda c: [{at}])"
+    step = f"lambda acc, m: [((acc[1] + (acc[1] & m[1])) & {full}) | (acc[1] - (acc[1] & m[1]))]"
+    return f"case when {a} = '' or {b} = '' then 0 when length({a}) > 60 then error('too long') else 60 - bit_count((list_reduce({masks}, {step}, [{full}::bigint]))[1]) end"
 
 
 def ratio(a: str, b: str) -> str:
     return f"case when length({a}) + length({b}) = 0 then 100.0 else 200.0 * ({lcs(a, b)}) / (length({a}) + length({b})) end"
 
 
-def _token_sets(source: str, a: str, b: str) -> str:
-    """CTEs that end in ts(.., tsr): the token set ratio of two strings of each row of source."""
+def _token_sets(source: str, a: str, b: str, p: str = "ts") -> str:
+    """CTEs that end in p(.., tsr): the token set ratio of two strings of each row of source."""
     words = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
     rest = lambda x, y: f"array_to_string(list_sort(list_filter({x}, lambda w: not list_contains({y}, w))), ' ')"
     of = lambda c, n: f"case when {n} = 0 then 100.0 else 200.0 * ({c}) / ({n}) end"
     whole = of("sh + gap + cl", "2 * (sh + gap) + la + lb")
-    return f"""ts1 as (select *, {words(a)} x, {words(b)} y from {source}),
-ts2 as (select *, {rest('x', 'y')} ra, {rest('y', 'x')} rb, length(array_to_string(list_intersect(x, y), ' ')) sh from ts1),
-ts3 as (select ra, rb, {lcs('ra', 'rb')} cl from (select distinct ra, rb from ts2)),
-ts4 as (select ts2.*, cl, length(ra) la, length(rb) lb, case when sh > 0 then 1 else 0 end gap from ts2 join ts3 using (ra, rb)),
-ts as (select *, case when length(x) = 0 or length(y) = 0 then 0.0 when sh > 0 and (la = 0 or lb = 0) then 100.0 when sh > 0 then greatest({whole}, {of('sh', '2 * sh + gap + la')}, {of('sh', '2 * sh + gap + lb')}) else {whole} end tsr from ts4)"""
+    return f"""{p}1 as (select *, {words(a)} x, {words(b)} y from {source}),
+{p}2 as (select *, {rest('x', 'y')} ra, {rest('y', 'x')} rb, length(array_to_string(list_intersect(x, y), ' ')) sh from {p}1),
+{p}3 as (select ra, rb, {lcs('ra', 'rb')} cl from (select distinct ra, rb from {p}2)),
+{p}4 as (select {p}2.*, cl, length(ra) la, length(rb) lb, case when sh > 0 then 1 else 0 end gap from {p}2 join {p}3 using (ra, rb)),
+{p} as (select *, case when length(x) = 0 or length(y) = 0 then 0.0 when sh > 0 and (la = 0 or lb = 0) then 100.0 when sh > 0 then greatest({whole}, {of('sh', '2 * sh + gap + la')}, {of('sh', '2 * sh + gap + lb')}) else {whole} end tsr from {p}4)"""
+
+
+def _partial(source: str, p: str) -> str:
+    """CTEs that end in p(a, b, best): the best ratio of the shorter string with the windows of the longer one, of distinct (a, b)."""
+    cut = "substr(l, greatest(stop - length(s), 0) + 1, least(stop, length(l)) - greatest(stop - length(s), 0))"
+    return f"""{p}1 as (select a, b, a s, b l from {source} where length(a) <= length(b) union select a, b, b, a from {source} where length(b) <= length(a)),
+{p}2 as (select a, b, s, {cut} w from (select *, unnest(range(1, length(l) + length(s)))::int stop from {p}1 where s <> '')),
+{p}3 as (select s, w, {lcs('s', 'w')} cl from (select distinct s, w from {p}2)),
+{p} as (select a, b, coalesce(best, case when a = b then 100.0 else 0.0 end) best from (select distinct a, b from {source})
+left join (select a, b, max(200.0 * cl / (length(s) + length(w))) best from {p}2 join {p}3 using (s, w) group by a, b) using (a, b))"""
+
+
+def _sorted(c: str) -> str:
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def _edits(source: str, p: str) -> str:
+    """CTEs that end in p(a, b, ratio, best, token_sort, token_set) of the distinct (a, b) of source, as shares."""
+    return f"""{p}s as (select distinct a, b from {source}), {_partial(f'{p}s', f'{p}p')}, {_token_sets(f'{p}s', 'a', 'b', f'{p}t')},
+{p}o as (select a, b, tsr, {_sorted('a')} oa, {_sorted('b')} ob from {p}t),
+{p} as (select a, b, {ratio('a', 'b')} / 100 ratio, best / 100 best, {ratio('oa', 'ob')} / 100 token_sort, tsr / 100 token_set from {p}o join {p}p using (a, b))"""
+
+
+def partial_sql() -> str:
+    return f"with {PARTS_BY_TYPE}, s as (select distinct a.business_name a, b.business_name b from e a join e b using (country)), {_partial('s', 'pr')} select a, b, round(best, 6) as partial from pr"
 
 
 def edit_sql() -> str:
@@ -197,16 +227,60 @@ def edit_sql() -> str:
 select a, b, round({ratio('a', 'b')}, 6) ratio, round({ratio('oa', 'ob')}, 6) token_sort, round(tsr, 6) token_set from o"""
 
 
-def links_sql(owner: bool) -> str:
-    keep = "qualify row_number() over (partition by target_id order by sim desc, s1_idx) = 1" if owner else ""
-    return f"""with {PARTS_BY_TYPE}, {_found(V3_TIGHT, 3)}, w as (select entity_id, {full()} v from e),
+def _scored(view: str, index: dict, k: int) -> str:
+    """CTEs that end in r(s1_id, s1_idx, source, target_id, rank, sim, plain, held)."""
+    return f"""{view}, {_found(index, k)}, w as (select entity_id, {full()} v from e),
 s as (select f.s1_id, f.s1_idx, f.source, f.target_id, f.rank, a.v a, b.v b from f join w a on a.entity_id = s1_id join w b on b.entity_id = target_id),
 {_token_sets('s', 'a', 'b')}, z as (select *, regexp_replace(a, '[^a-z0-9]', '', 'g') ac, regexp_replace(b, '[^a-z0-9]', '', 'g') bc from ts),
-r as (select s1_id, s1_idx, source, target_id, rank, round(case when {contains_either('ac', 'bc')} then greatest(tsr, 85.0) else tsr end, 6) sim from z)
-select s1_id, source, target_id, sim, rank from r where sim >= 74 {keep}"""
+r as (select s1_id, s1_idx, source, target_id, rank, {contains_either('ac', 'bc')} held, round(tsr, 6) plain, round(case when {contains_either('ac', 'bc')} then greatest(tsr, 85.0) else tsr end, 6) sim from z)"""
+
+
+_OWNER = "qualify row_number() over (partition by target_id order by sim desc, s1_idx, s1_id) = 1"
+
+
+def links_sql(owner: bool) -> str:
+    return f"with {_scored(PARTS_BY_TYPE, V3_TIGHT, 3)} select s1_id, source, target_id, sim, rank from r where sim >= 74 {_OWNER if owner else ''}"
 
 
-def features_sql(names: list[str]) -> str:
+def linkage_sql() -> str:
+    return f"""with {_scored(PARTS, V3, 30)}, o as (select * from r where sim >= 74 {_OWNER}), l as (select s1_id, string_agg(target_id, ',' order by source, rank) ids from o group by s1_id)
+select entity_id source1_entity_id, coalesce(ids, '') matched_entity_ids, doc_idx s1_idx from e left join l on l.s1_id = e.entity_id where source = 1"""
+
+
+def baseline_sql(name: str) -> str:
+    if name == "a":
+        return f"with {PARTS}, {PART_TRUTH}, pred as (select null::varchar s1_id, null::varchar target_id where false), {SCORES} select {SUMMARY} from scores"
+    if name == "b":
+        plain = "trim(regexp_replace(lower(business_name), '[^a-z0-9]+', ' ', 'g'))"
+        return f"""with {PARTS}, {PART_TRUTH}, {_found(V3, 30)}, w as (select entity_id, {plain} n, {full()} v from e),
+pred as (select s1_id, target_id from f join w a on a.entity_id = s1_id join w b on b.entity_id = target_id where a.n <> '' and starts_with(b.v, a.n)), {SCORES} select {SUMMARY} from scores"""
+    keep = "plain >= 80" if name == "c" else f"sim >= 74 {_OWNER}"
+    return f"with {_scored(PARTS, V3, 30)}, {PART_TRUTH}, pred as (select s1_id, target_id from r where {keep}), {SCORES} select {SUMMARY} from scores"
+
+
+def batch_sql() -> str:
+    return f"""with {_scored(PARTS, V3_BATCH, 10)}, h as (select distinct s1_id from r where sim >= 74)
+select count(*) processed, count(h.s1_id) matched, count(*) - count(h.s1_id) singletons from e left join h on h.s1_id = e.entity_id where source = 1"""
+
+
+def resolve_sql() -> str:
+    view = PARTS.replace("e as (", "e0 as (") + """, e as (select entity_id, source, doc_idx,
+case when source > 1 or country in (select country from e0 where source > 1) then country else 'US' end country, business_name, business_address from e0)"""
+    said = "list_filter([case when 'compact' in met then 'compact name key' end, case when 'numaddr' in met then 'number and street key' end, case when held then 'strings contain each other' end, case when sim >= 74 then 'score reaches the threshold' else 'score is below the threshold' end], lambda x: x is not null)"
+    return f"""with {_scored(view, V3, 15)}, h as (select k.entity_id s1_id, p.source, list(distinct channel) met from k join p using (country, channel, key) where k.real_source = 1 group by all),
+cc as (select r.*, coalesce(met, []) met, row_number() over (partition by s1_id order by sim desc, r.source, rank) - 1 place, count(*) over (partition by s1_id) n, count_if(sim >= 74) over (partition by s1_id) hits from r left join h using (s1_id, source))
+select q.entity_id s1_id, q.country, coalesce(n, 0)::int candidates_count, coalesce(hits, 0)::int matches_count, coalesce(hits, 0) = 0 is_singleton, place::int place, c.source, c.target_id entity_id, t.business_name, sim, sim >= 74 is_match, case when c.s1_id is not null then array_to_string({said}, '; ') end reasons
+from e q left join cc c on c.s1_id = q.entity_id left join e t on t.entity_id = c.target_id where q.source = 1"""
+
+
+def stored_sql(keep: int) -> str:
+    return f"""with {PARTS_BY_TYPE}, w as (select *, {simple('business_name')} n, {simple('business_address')} m from e), x as (select *, {phonetic("n || ' ' || m")} v, regexp_replace(n, '[^a-z0-9]', '', 'g') c from w),
+base as (select * from x where source > 1 qualify row_number() over (partition by country, source order by doc_idx) <= {keep}),
+s as (select q.entity_id s1_id, b.entity_id target_id, q.v a, b.v b, q.c ac, b.c bc from x q join base b using (country) where q.source = 1), {_token_sets('s', 'a', 'b')}
+select s1_id, target_id, round(case when {contains_either('ac', 'bc')} then greatest(tsr, 85.0) else tsr end, 6) sim from ts"""
+
+
+def features_sql(names: list[str], view: str = DOCS, index: dict = V3, k: int = 25) -> str:
     num = lambda x: f"case when length(a.d) = 0 and length(b.d) = 0 then 1.0 when length(a.d) = 0 or length(b.d) = 0 then 0.0 else {x} end"
     only = lambda x, y: f"length(list_filter({x}, lambda w: not list_contains({y}, w))) + length(list_filter({y}, lambda w: not list_contains({x}, w)))"
     ratio_ = lambda x, y: f"case when greatest(length({x}), length({y})) = 0 then 1.0 else least(length({x}), length({y})) / greatest(length({x}), length({y})) end"
@@ -219,9 +293,16 @@ def features_sql(names: list[str]) -> str:
         "addr_len_ratio": ratio_("a.a", "b.a"), "addr_diff_tokens_count": only("a.adt", "b.adt"), "addr_exact_clean_match": "a.a = b.a and a.a <> ''",
         "num_jaccard": num(jaccard("a.d", "b.d")), "num_any_match": num("list_has_any(a.d, b.d)::int"), "num_count_diff": "abs(length(a.d) - length(b.d))",
         "num_exact_equal": num(f"({only('a.d', 'b.d')} = 0)::int"), "country_match": "a.country = b.country", "name_either_empty": "a.n = '' or b.n = ''", "addr_either_empty": "a.a = '' or b.a = ''",
+        **{f"{part}_{said}": f"{part[0]}e.{c}" for part in ("name", "addr") for said, c in (("fuzz_ratio", "ratio"), ("partial_ratio", "best"), ("token_sort_ratio", "token_sort"), ("token_set_ratio", "token_set"))},
+        "name_addr_fuzz_product": "ne.ratio * ae.ratio",
     }
+    have["combined_confidence_score"] = f"0.55 * ne.token_sort + 0.35 * ae.token_sort + 0.10 * ({have['num_any_match']})"
+    edits = join = ""
+    if any(n.endswith("fuzz_ratio") for n in names):
+        edits = f", np as (select a.n a, b.n b from n join kk a on a.entity_id = n.s1_id join kk b on b.entity_id = n.target_id), {_edits('np', 'ne')}, ap as (select a.a a, b.a b from n join kk a on a.entity_id = n.s1_id join kk b on b.entity_id = n.target_id), {_edits('ap', 'ae')}"
+        join = "join ne on ne.a = a.n and ne.b = b.n join ae on ae.a = a.a and ae.b = b.a"
     sides = f"select entity_id, country, {normal('business_name', True)} n, {normal('business_address', False)} a, list_distinct({feature_tokens('business_name', True)}) nt, list_distinct({feature_tokens('business_address', False)}) adt, list_distinct(regexp_extract_all(business_address, '\\d{{3,}}')) d from e"
-    return f"with {DOCS}, {NEAR}, k as ({sides}) select n.s1_id, n.target_id, {', '.join(f'round(({have[n]})::double, 9) {n}' for n in names)} from n join k a on a.entity_id = n.s1_id join k b on b.entity_id = n.target_id"
+    return f"with {view}, {_pairs(index, k)}, kk as ({sides}){edits} select n.s1_id, n.target_id, {', '.join(f'round(({have[n]})::double, 9) {n}' for n in names)} from n join kk a on a.entity_id = n.s1_id join kk b on b.entity_id = n.target_id {join}"
 
 
 SUMMARY = """count(*) n_entities, round(avg(f05), 9) macro_f05, round(avg(p), 9) macro_precision, round(avg(r), 9) macro_recall,
@@ -248,12 +329,6 @@ def eval_sql(final: str, predictions: str = EQUAL_NAMES) -> str:
 _FOUND_DOCS = f"{_found(V3, 25)}, pred as (select s1_id, target_id from f)"
 
 
-def baseline_b_sql() -> str:
-    plain = "trim(regexp_replace(lower(business_name), '[^a-z0-9]+', ' ', 'g'))"
-    return f"""with {DOCS}, {TRUTH}, {_found(V3, 30)}, w as (select entity_id, {plain} n, {full()} v from e),
-pred as (select s1_id, target_id from f join w a on a.entity_id = s1_id join w b on b.entity_id = target_id where a.n <> '' and starts_with(b.v, a.n)), {SCORES} select {SUMMARY} from scores"""
-
-
 def blocking_sql() -> str:
     return f"with {DOCS}, {TRUTH}, {_FOUND_DOCS}, {SCORES} select round(case when sum(n_true) = 0 then 1.0 else sum(tp) / sum(n_true) end, 9) recall, round(avg(n_pred), 9) avg_candidates, sum(n_pred)::bigint total_pairs from scores"
 
@@ -302,15 +377,15 @@ select round(threshold, 2) threshold, round(avg(case when n_true = 0 and n_pred
 
 def bootstrap_sql(repeats: int) -> str:
     draw = hashed(42, "rep", "draw")
-    return eval_sql(f""", v as (select f05, row_number() over (order by s1_id) - 1 as pos, count(*) over () n from scores),
+    return eval_sql(f""", v as (select f05, row_number() over (order by {hashed('s1_id', 42)}, s1_id) - 1 as pos from scores),
 g as (select rep, {draw} % (select count(*) from scores) as pos from (select range rep from range({repeats})), (select range draw from range((select count(*) from scores)))),
 m as (select rep, avg(f05) m from g join v using (pos) group by rep)
 select round(avg(m), 9) mean, round(stddev_pop(m), 9) std, round(quantile_cont(m, 0.025), 9) low, round(quantile_cont(m, 0.975), 9) high from m""")
 
 
-def stability_sql(final: str) -> str:
+def stability_sql(final: str, sample: int = 2000) -> str:
     return f"""with {DOCS}, {TRUTH}, l as (select u.s1_id, coalesce(n, 0) links from u left join (select s1_id, count(*) n from t group by 1) using (s1_id)),
-r as (select *, row_number() over (partition by seed order by {hashed('s1_id', 'seed')}, s1_id) place from l, (select unnest([42, 123, 456, 789, 1024]) seed) qualify place <= 100),
+r as (select *, row_number() over (partition by seed order by {hashed('s1_id', 'seed')}, s1_id) place from l, (select unnest([42, 123, 456, 789, 1024]) seed) qualify place <= {sample}),
 per0 as (select seed, count(*) n, count_if(links = 0)::bigint singletons, avg(links) m, stddev_samp(links) s, string_agg(s1_id, ',' order by place) filter (place <= 5) first_ids from r group by seed),
 per as (select seed, n, singletons, round(singletons / n, 9) singleton_rate, round(m, 9) mean_links, round(s, 9) std_links, first_ids from per0) {final}"""
 

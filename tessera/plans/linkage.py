@@ -13,6 +13,7 @@ from tessera.operators import evaluate as E
 from tessera.operators import features as X
 from tessera.operators import learn as L
 from tessera.operators import match as M
+from tessera.operators.staging import staged
 
 
 @dataclass
@@ -37,17 +38,22 @@ def baselines(queries: DataFrame, targets: DataFrame, index: B.Index = B.MULTI_C
     return {"a": pick(found).limit(0), "b": pick(M.prefix_matches(queries, found, targets)), "c": pick(simple), "d": pick(whole)}
 
 
-def train(queries: DataFrame, targets: DataFrame, truth: DataFrame, index: B.Index = B.DUAL, sample: int = 20_000, rounds: int = 60, names: list[str] | None = None, seed: int = 42):
-    """(model, best threshold, sweep, validation candidates): sample, split, block, mine negatives, fit, sweep."""
+def train(queries: DataFrame, targets: DataFrame, truth: DataFrame, index: B.Index = B.DUAL, sample: int = 20_000, rounds: int = 800, names: list[str] | None = None, seed: int = 42):
+    """(model, best threshold, sweep, validation candidates): sample, split, block, mine negatives, fit, sweep.
+
+    The held-out candidates stop the rounds once their loss no longer falls.
+    """
     names = names or X.NAMES
     split = L.train_val_split(L.stratified_sample(queries, sample, seed=seed), seed=seed)
     fit_on, check_on = (split.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
     found = B.candidates(fit_on, targets, index)
     own = truth.join(fit_on.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
     pairs = X.pair_features(L.hard_negatives(found, own), fit_on, targets, names, "double")
-    model = L.fit_classifier(pairs, names, rounds, seed=seed)
-    held = L.labelled(B.candidates(check_on, targets, index), truth)
-    scored = L.predicted(model, X.pair_features(held, check_on, targets, names, "double"))
+    held = staged(X.pair_features(L.labelled(B.candidates(check_on, targets, index), truth), check_on, targets, names, "double"))
+    columns = [*names, "label", "validation"]
+    rows = staged(pairs.withColumn("validation", F.lit(False)).select(*columns).unionByName(held.withColumn("validation", F.lit(True)).select(*columns)))
+    model = L.fit_classifier(rows, names, rounds, seed=seed)
+    scored = L.predicted(model, held)
     ids = check_on.select(F.col("entity_id").alias("s1_id"))
     table = E.sweep(scored, truth.join(ids, "s1_id", "left_semi"), ids)
     best = table.first()
@@ -63,12 +69,11 @@ def resolve(queries: DataFrame, targets: DataFrame, threshold: float | None = No
     known = targets.select("country").distinct().withColumn("known", F.lit(True))
     queries = queries.join(known, "country", "left").withColumn("country", F.when(F.col("known"), F.col("country")).otherwise("US")).drop("known")
     found = B.candidates(queries, targets, index)
-    rows = M.scored_pairs(found, queries, targets)
-    keys = B.tall_keys(queries.withColumn("source", F.lit(1)), index).groupBy("entity_id").agg(F.collect_set("channel").alias("asked"))
-    rows = rows.join(keys.withColumnRenamed("entity_id", "s1_id"), "s1_id", "left")
+    rows = M.scored_pairs(found, queries, targets, keep=True).join(B.met_channels(queries, targets, index), ["s1_id", "source"], "left")
+    met = lambda channel: F.coalesce(F.array_contains("met", channel), F.lit(False))
     said = M.reasons({
-        "compact name key": F.array_contains("asked", "compact"), "number and street key": F.array_contains("asked", "numaddr"),
-        "strings contain each other": F.col("sim") == 85.0, "score reaches the threshold": F.col("sim") >= threshold, "score is below the threshold": F.col("sim") < threshold,
+        "compact name key": met("compact"), "number and street key": met("numaddr"),
+        "strings contain each other": F.col("held"), "score reaches the threshold": F.col("sim") >= threshold, "score is below the threshold": F.col("sim") < threshold,
     })
     rows = rows.withColumn("reasons", said).join(targets.select(F.col("entity_id").alias("target_id"), "business_name", "business_address"), "target_id")
     one = F.struct((-F.col("sim")).alias("order"), "source", "rank", F.col("target_id").alias("entity_id"), "business_name", "business_address", F.col("sim").alias("similarity_score"), (F.col("sim") >= threshold).alias("is_match"), "reasons")

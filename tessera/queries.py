@@ -17,7 +17,7 @@ from tessera.operators import learn as L
 from tessera.operators import match as M
 from tessera.plans import linkage as P
 from tessera.sources import tables as IO
-from tessera.fixtures import doc_entities, doc_truth, part_entities, sides
+from tessera.fixtures import doc_entities, doc_truth, part_entities, part_truth, sides
 
 Query = Callable[[SparkSession, str], DataFrame]
 TIGHT = B.MULTI_CHANNEL.with_sizes(k=3, name=(20, 5), numaddr=(1500, 3))
@@ -39,17 +39,15 @@ def _scalar(view: Callable, **columns) -> Query:  # noqa: ANN003
     return lambda spark, d: view(spark, d).select("entity_id", *(make().alias(n) for n, make in columns.items()))
 
 
-def _near_pairs(e: DataFrame) -> DataFrame:
-    """Queries with the next two rows of the table: pairs for the similarity functions."""
-    a, b = sides(e)
-    a = a.select(F.col("entity_id").alias("s1_id"), F.explode(F.array(F.col("doc_idx") + 1, F.col("doc_idx") + 2)).alias("at"))
-    return a.join(b.select(F.col("entity_id").alias("target_id"), F.col("doc_idx").alias("at")), "at").select("s1_id", "target_id")
+def _found_pairs(e: DataFrame, index: B.Index = B.RETRIEVAL_STUDY) -> DataFrame:
+    """The candidates of all queries: pairs for the similarity functions."""
+    return B.candidates(*sides(e), index).select("s1_id", "target_id")
 
 
 def _pair_sets(spark: SparkSession, d: str) -> DataFrame:
     e = doc_entities(spark, d)
     tokens = e.select("entity_id", T.index_tokens(F.col("business_name")).alias("t"), F.lower("business_name").alias("s"))
-    rows = _near_pairs(e).join(tokens.toDF("s1_id", "a", "x"), "s1_id").join(tokens.toDF("target_id", "b", "y"), "target_id")
+    rows = _found_pairs(e).join(tokens.toDF("s1_id", "a", "x"), "s1_id").join(tokens.toDF("target_id", "b", "y"), "target_id")
     r = lambda c, n: F.round(c, 9).alias(n)
     a, b, x, y = map(F.col, "abxy")
     return rows.select("s1_id", "target_id", r(S.jaccard(a, b), "jaccard"), r(S.overlap(a, b), "overlap"), r(S.ngram_jaccard(x, y, 3), "ngram3"), S.contains_either(x, y).alias("contained"))
@@ -71,10 +69,10 @@ def _partial(spark: SparkSession, d: str) -> DataFrame:
     return _name_pairs(spark, d).select("a", "b", F.round(S.partial_ratio(F.col("a"), F.col("b")), 6).alias("partial"))
 
 
-def _features(names: list[str]) -> Query:
+def _features(names: list[str], view: Callable[..., DataFrame] = doc_entities, index: B.Index = B.RETRIEVAL_STUDY) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = doc_entities(spark, d)
-        out = X.pair_features(_near_pairs(e), e, e, names, "double")
+        e = view(spark, d)
+        out = X.pair_features(_found_pairs(e, index), e, e, names, "double")
         return out.select("s1_id", "target_id", *(F.round(n, 9).alias(n) for n in names))
 
     return run
@@ -149,10 +147,12 @@ def _report(predict: Callable[[SparkSession, str, DataFrame], DataFrame]) -> Que
 
 
 def _baseline(name: str) -> Query:
-    def predict(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
-        return P.baselines(*sides(e))[name]
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = part_entities(spark, d)
+        scores = E.entity_scores(E.entity_counts(predictions=P.baselines(*sides(e))[name], ground_truth=part_truth(spark, d), universe=_universe(e)))
+        return _rounded(scores.agg(*E.summary()))
 
-    return _report(predict)
+    return run
 
 
 def _by_country(spark: SparkSession, d: str) -> DataFrame:
@@ -206,15 +206,15 @@ def _negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(E.bootstrap(_scores(spark, d), repeats=200))
+    return _rounded(E.bootstrap(_scores(spark, d)))
 
 
 def _stability(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(L.seed_stability(_universe(doc_entities(spark, d)), doc_truth(spark, d), sample=100), "seed")
+    return _rounded(L.seed_stability(_universe(doc_entities(spark, d)), doc_truth(spark, d)), "seed")
 
 
 def _stability_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(L.stability_summary(L.seed_stability(_universe(doc_entities(spark, d)), doc_truth(spark, d), sample=100)))
+    return _rounded(L.stability_summary(L.seed_stability(_universe(doc_entities(spark, d)), doc_truth(spark, d))))
 
 
 def _shift(spark: SparkSession, d: str) -> DataFrame:
@@ -234,15 +234,18 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gbdt(spark: SparkSession, d: str) -> DataFrame:
-    """Trains on set-based features and returns the held-out candidates with their probability."""
-    queries, targets = sides(doc_entities(spark, d))
-    *_, scored = P.train(queries, targets, doc_truth(spark, d), rounds=10, names=X.SET_BASED)
+    """Trains on all features and returns the held-out candidates with their probability."""
+    queries, targets = sides(part_entities(spark, d))
+    *_, scored = P.train(queries, targets, part_truth(spark, d))
     return scored.select("s1_id", "target_id", "label", "prob")
 
 
 def _resolve(spark: SparkSession, d: str) -> DataFrame:
-    queries, targets = sides(part_entities(spark, d))
-    return P.resolve(queries.orderBy("doc_idx").limit(5), targets).drop("candidates")
+    rows = P.resolve(*sides(part_entities(spark, d)))
+    rows = rows.select("s1_id", "country", "candidates_count", "matches_count", "is_singleton", F.posexplode_outer("candidates").alias("place", "c"))
+    return rows.select(
+        "s1_id", "country", "candidates_count", "matches_count", "is_singleton", "place", "c.source", "c.entity_id", "c.business_name", F.col("c.similarity_score").alias("sim"), "c.is_match", F.array_join("c.reasons", "; ").alias("reasons"),
+    )
 
 
 def _resolve_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -250,10 +253,14 @@ def _resolve_batch(spark: SparkSession, d: str) -> DataFrame:
     return P.batch_counts(queries, P.resolve_batch(queries, targets).matches)
 
 
+STORED = 50  # rows of each country and source that the stored base holds, by its design
+
+
 def _stored_base(spark: SparkSession, d: str) -> DataFrame:
     queries, targets = sides(part_entities(spark, d, "p_type"))
-    base = targets.filter("doc_idx <= 60")
-    return M.stored_base(queries.filter("doc_idx <= 90"), base).select("s1_id", "target_id", "sim")
+    place = F.row_number().over(Window.partitionBy("country", "source").orderBy("doc_idx"))
+    base = targets.withColumn("place", place).filter(F.col("place") <= STORED).drop("place")
+    return M.stored_base(queries, base).select("s1_id", "target_id", "sim")
 
 
 def _shared(spark: SparkSession, d: str) -> DataFrame:
@@ -311,21 +318,21 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "candidate_lists": (_lists, Q.lists_sql(Q.PARTS, Q.V3, 30)),
     "set_similarities": (_pair_sets, Q.pair_sets_sql()),
     "edit_similarities": (_edit_scores, Q.edit_sql()),
-    "partial_ratio": (_partial, None),
-    "features_set_based": (_features(X.SET_BASED), Q.features_sql(X.SET_BASED)),
-    "features_35": (_features(X.NAMES), None),
+    "partial_ratio": (_partial, Q.partial_sql()),
+    "features_set_based": (_features(X.SET_BASED, part_entities, B.MULTI_CHANNEL), Q.features_sql(X.SET_BASED, Q.PARTS, Q.V3, 30)),
+    "features_35": (_features(X.NAMES, part_entities, B.MULTI_CHANNEL), Q.features_sql(X.NAMES, Q.PARTS, Q.V3, 30)),
     "match_threshold": (_links(False), Q.links_sql(False)),
     "one_owner": (_links(True), Q.links_sql(True)),
-    "linkage": (flagship, None),
+    "linkage": (flagship, Q.linkage_sql()),
     "entity_f05": (lambda s, d: _rounded(_scores(s, d), "s1_id"), Q.eval_sql("select s1_id, n_pred, n_true, tp, round(p, 9) as precision, round(r, 9) as recall, round(f05, 9) f05, round(f05, 9) f05_direct from scores")),
     "macro_report": (_report(lambda s, d, e: _predictions(e)), Q.eval_sql(f"select {Q.SUMMARY} from scores")),
     "score_buckets": (lambda s, d: _rounded(E.score_buckets(_scores(s, d)), "bucket"), Q.eval_sql(Q.BUCKETS)),
     "country_rollup": (_by_country, Q.eval_sql(f"select country, {Q.SUMMARY} from scores join u using (s1_id) group by rollup (country)")),
     "cohorts": (_cohorts, Q.eval_sql(Q.COHORTS)),
-    "baseline_a": (_baseline("a"), Q.eval_sql(f"select {Q.SUMMARY} from scores", "select null::varchar s1_id, null::varchar target_id where false")),
-    "baseline_b": (_baseline("b"), Q.baseline_b_sql()),
-    "baseline_c": (_baseline("c"), None),
-    "baseline_d": (_baseline("d"), None),
+    "baseline_a": (_baseline("a"), Q.baseline_sql("a")),
+    "baseline_b": (_baseline("b"), Q.baseline_sql("b")),
+    "baseline_c": (_baseline("c"), Q.baseline_sql("c")),
+    "baseline_d": (_baseline("d"), Q.baseline_sql("d")),
     "blocking_metrics": (_blocking_metrics, Q.blocking_sql()),
     "candidate_histogram": (_histogram, Q.histogram_sql()),
     "recall_at_k": (lambda s, d: _rounded(E.recall_at(_found(s, d), doc_truth(s, d))), Q.recall_sql()),
@@ -337,15 +344,15 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "shared_links": (_shared, Q.holdout_sql("select target_id, string_agg(distinct split, ',' order by split) splits from h join t on t.s1_id = h.entity_id group by target_id having count(distinct split) > 1")),
     "hard_negatives": (_negatives, Q.negatives_sql()),
     "threshold_sweep": (_sweep, Q.sweep_sql()),
-    "bootstrap_ci": (_bootstrap, Q.bootstrap_sql(200)),
+    "bootstrap_ci": (_bootstrap, Q.bootstrap_sql(1000)),
     "seed_stability": (_stability, Q.stability_sql("select * from per")),
     "seed_summary": (_stability_summary, Q.stability_sql("select round(avg(m), 9) mean, round(stddev_pop(m), 9) std, round(min(m), 9) low, round(max(m), 9) high from per0")),
     "distribution_shift": (_shift, Q.SHIFT),
     "empty_rate": (_empty, Q.eval_sql("select country, count(*) n, count_if(n_pred = 0)::bigint n_empty, round(count_if(n_pred = 0) / count(*), 9) rate from scores join u using (s1_id) group by country")),
     "train_classifier": (_gbdt, None),
-    "resolve": (_resolve, None),
-    "resolve_batch": (_resolve_batch, None),
-    "stored_base": (_stored_base, None),
+    "resolve": (_resolve, Q.resolve_sql()),
+    "resolve_batch": (_resolve_batch, Q.batch_sql()),
+    "stored_base": (_stored_base, Q.stored_sql(STORED)),
 }
 
 

@@ -22,7 +22,7 @@ def read_entities(spark: SparkSession, path: str, source: int, country: str | No
     The schema is given, never inferred. doc_idx comes from the position in the file (`_metadata` block offset, then the
     order within the block), so it is the same on every read of the same file.
     """
-    rows = spark.read.schema(ENTITY).option("sep", "\t").option("header", True).option("quote", "").option("maxPartitionBytes", "512m").csv(path)
+    rows = spark.read.schema(ENTITY).option("sep", "\t").option("header", True).option("quote", "").csv(path)
     return _placed(rows, source, country, ids)
 
 
@@ -119,8 +119,8 @@ def write_entities(entities: DataFrame, path: str) -> None:
 
 
 def write_partitioned(entities: DataFrame, path: str) -> None:
-    """Parquet by source and country, so that a filter on either reads only its folders."""
-    entities.repartition("source", "country").write.mode("overwrite").partitionBy("source", "country").parquet(path)
+    """Parquet by source and country, so that a filter on either reads only its folders; a large country has several files."""
+    entities.hint("rebalance", "source", "country").write.mode("overwrite").partitionBy("source", "country").parquet(path)
 
 
 def bundle(paths: dict[str, str], target: str) -> str:
