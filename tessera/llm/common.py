@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 
@@ -17,9 +18,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only in local mode, where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "/tmp/checkpoints/tessera"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
