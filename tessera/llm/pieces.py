@@ -1,39 +1,44 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into units that no piece crosses: lines, and in a line each word with the space before it. Each different
-unit is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, and the edges
-found are folded to ids unit by unit. For a unigram model the edges are grouped and the fold is Viterbi, the best sum of
-piece scores from the left, as a Spark higher-order aggregate. For a BPE model the best sum of scores is not what the
-model encodes; its fold is the merge order (the best-scored edge over two neighbouring symbols, the leftmost of equals,
-until none is left). `merge_fold` states that as a higher-order aggregate too; `merged_units` does the same for many
-units at once on Arrow batches, in which the edges of a unit arrive together, and is the one that queries use.
-Characters that no edge covers fall back to bytes.
-
-The most frequent units (HOT at most) go to every executor; the others return, as a dictionary, to the chunk of texts
-that holds them. A chunk has about CHUNK characters, its texts travel compressed, and no chunk sees another's units.
-
-A unit is named by its text: a word after a space by itself, a word that begins a line behind a line end.
+Texts, with a space put in front, are cut into units that no piece crosses: before a word's spaces, around a line end, and
+between any two characters whose neighbouring bytes no piece holds side by side. The substrings of a unit up to the longest piece are exploded and equi-joined to the piece table, and the edges found
+are grouped by unit and folded to ids. For a unigram model the fold is Viterbi, the best sum of piece scores from the
+left. For a BPE model the best sum of scores is not what the model encodes; its fold is the merge order (the best-scored
+edge over two neighbouring symbols, the leftmost of equals, until none is left). Characters without an edge fall back to
+bytes.
+
+The units of all texts are counted, and the most frequent ones (`hot` at most, of MOST_BYTES bytes at most, so that they
+take some 10 MB whatever the corpus) pass through that plan as DataFrame operations, with the fold as a higher-order
+aggregate; their ids go to every executor. All others are encoded where their text is: explode, equi-join, group and fold
+of the same lattice over the Arrow batch at hand, many units at once, with those met lately remembered. Texts are never
+shuffled. Long units are cut where no edge crosses; what is still long merges by a heap, so a text without any space takes
+near-linear time.
+
+Within a slice of texts (about 1 MB) equal units are found by a 64-bit hash; decoding all ids checks every text.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, id_text, load, materialize, release, split_frequent
+from tessera.llm.common import discard, id_text, load, materialize, most_frequent, text_buffers
+from tessera.llm.kernel import Hasher, slices
 
 SPACE = "▁"
-HOT = 800_000
-CHUNK = 8_000_000
-FLUSH = 400_000
-UNIT = re.compile(r" *[^ ]+| +")
+HOT = 30_000
+MOST_BYTES = 64  # of a unit that all executors hold
+FLUSH = 400_000  # units that a counting task holds before it passes them on
+KNOWN = 400_000  # units that an encoding task remembers
+AT_ONCE = 1 << 18  # bytes of units whose lattice is held at once
+LONG = 64  # symbols that merge by a heap
+CUT_EVERY, CUT_WITHIN = 1 << 16, 1 << 12  # longer units are cut at a crossing-free place of such a window, if there is one
 
 
 @dataclass
@@ -51,6 +56,10 @@ class Vocabulary:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
+    @property
+    def unknown_score(self) -> float:
+        return min((s for _, _, s in self.pieces), default=0.0) - 10.0
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -74,60 +83,48 @@ class Vocabulary:
         return cls([(m.id_to_piece(i), i, s) for i, s in zip(plain, scores, strict=True)], [i for i in range(n) if m.is_byte(i)], m.unk_id(), n, bpe, texts)
 
 
-def units_of(text: str) -> list[list[str]]:
-    """The units of each line of a text with its space in front; a text of nothing has no lines."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    out = []
-    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
-        for line in (" " + text).split("\n"):
-            if "  " not in line and line[-1:] != " " and line[:1] != " ":
-                units = line.split(" ")
-                units[0] = "\n" + units[0]
-                out.append(units if line else [])
-            else:
-                out.append([u[1:] if u[0] == " " else "\n" + u for u in UNIT.findall(line)])
-        return out
-    for line in text.split("\n"):
-        units = line.split(" ")
-        if out:
-            if line:
-                units[0] = "\n" + units[0]
-            else:
-                units = []
-        out.append(units)
-    if not text.partition("\n")[0]:
-        out[0] = [""]
+def joints(vocabulary: Vocabulary) -> np.ndarray:
+    """Whether some piece holds two bytes side by side, [256, 256]; never across a line end, and a space only before what follows it."""
+    out = np.zeros((256, 256), bool)
+    for piece, _, _ in vocabulary.pieces:
+        raw = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+        out[raw[:-1], raw[1:]] = True
+    out[:, 0x80:0xC0] = True  # within a character
     return out
 
 
-def normal(unit: str) -> str:
-    """The characters of a unit as pieces hold them."""
-    return (unit[1:] if unit[:1] == "\n" else " " + unit).replace(" ", SPACE)
-
-
-def normal_column(unit: Column) -> Column:
-    return F.translate(F.when(F.startswith(unit, F.lit("\n")), F.substr(unit, F.lit(2))).otherwise(F.concat(F.lit(" "), unit)), " ", SPACE)
+def unit_bounds(data: np.ndarray, offsets: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with a space in front of each that isn't empty, their bounds, and (start, end, row) of their units."""
+    if len(data) > 2 and ((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)).any():  # the character that stands for a space is one
+        texts = [data[a:b].tobytes().replace(SPACE.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    full = np.diff(offsets) > 0
+    data = np.insert(data, offsets[:-1][full], 0x20)
+    offsets = offsets + np.r_[0, np.cumsum(full)]
+    start = np.zeros(len(data) + 1, bool)
+    start[offsets[:-1][full]] = True
+    if len(data):
+        start[1:-1] |= ~joint.ravel()[data[:-1].astype(np.int64) << 8 | data[1:]]
+    s = np.flatnonzero(start[:-1])
+    return data, offsets, s, np.r_[s[1:], len(data)] if len(s) else s, np.searchsorted(offsets, s, "right") - 1
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
 
 
-def substrings(units: DataFrame, vocabulary: Vocabulary, *keep: str) -> DataFrame:
-    """The substrings (at, size, piece) of every unit up to the longest piece, with the columns kept."""
-    rows = units.select(*keep, normal_column(F.col("unit")).alias("norm")).withColumn("n", F.length("norm"))
+def substrings(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The substrings (unit, at, size, piece) of every unit up to the longest piece."""
+    rows = units.select("unit", F.translate("unit", " ", SPACE).alias("norm")).withColumn("n", F.length("norm"))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("at")))))
-    return rows.select(*keep, "at", "size", F.substr("norm", F.col("at") + 1, F.col("size")).alias("piece"))
+    return rows.select("unit", "at", "size", F.substr("norm", F.col("at") + 1, F.col("size")).alias("piece"))
 
 
 def edges(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, edges): the lattice of each unit, an array of (at, size, id, score) with positions from 0."""
     # The piece table is bounded by the vocabulary, whatever the corpus.
-    lattice = substrings(units, vocabulary, "unit").join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece")
+    lattice = substrings(units, vocabulary).join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece")
     return lattice.groupBy("unit").agg(F.collect_list(F.struct("at", "size", "id", "score")).alias("edges"))
 
 
@@ -171,122 +168,15 @@ def viterbi_fold(norm: Column, found: Column, unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), state, step, lambda acc: F.get(acc["best"], n)["b"])
 
 
-def fold_merges(norms: list[str], unit: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, rank: np.ndarray, longest: int, byte_ids: list[int], unknown: int) -> list[np.ndarray]:
-    """Ids of many units: edges (unit, at, size, id) in any order; rank of an id is higher the better its score."""
-    width = longest + 1
-    length = np.array([len(x) for x in norms], np.int64)
-    base = np.r_[0, np.cumsum(length * width)]
-    piece = np.full(int(base[-1]), -1, np.int32)
-    piece[base[unit] + at * width + size] = ids
-    u = np.repeat(np.arange(len(norms)), length)
-    s = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    e = s + 1
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(u):
-        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        value = np.full(len(u), -1, np.int64)
-        span = np.r_[e[1:] - s[:-1], 0]
-        pair = np.flatnonzero(np.r_[u[1:] == u[:-1], False] & (span <= longest))
-        found = piece[base[u[pair]] + s[pair] * width + span[pair]]
-        hit = found >= 0
-        pair, found = pair[hit], found[hit]
-        value[pair] = rank[found].astype(np.int64) * (1 << 32) + (1 << 31) - s[pair]
-        best = np.maximum.reduceat(value, first)
-        per = np.diff(np.r_[first, len(u)])
-        open_ = np.repeat(best >= 0, per)
-        if not open_.all():
-            done.append((u[~open_], s[~open_], e[~open_]))
-        take = np.flatnonzero(open_ & (value == np.repeat(best, per)))
-        e[take] = e[take + 1]
-        keep = open_
-        keep[take + 1] = False
-        u, s, e = u[keep], s[keep], e[keep]
-    if not done:
-        return [np.zeros(0, np.int32) for _ in norms]
-    u, s, e = (np.concatenate(x) for x in zip(*done, strict=True))
-    order = np.lexsort((s, u))
-    u, s, e = u[order], s[order], e[order]
-    out = piece[base[u] + s * width + e - s]
-    bounds = np.searchsorted(u, np.arange(len(norms) + 1))
-    lists = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    for k in np.unique(u[out < 0]).tolist():
-        own: list[int] = []
-        for i in range(bounds[k], bounds[k + 1]):
-            own += [int(out[i])] if out[i] >= 0 else [byte_ids[b] for b in norms[k][s[i]].encode()] if byte_ids else [unknown]
-        lists[k] = np.array(own, np.int32)
-    return lists
-
-
-def merged_units(units: DataFrame, vocabulary: Vocabulary, packed: str | None = None) -> DataFrame:
-    """(unit, n, ids) of distinct units (unit, n) by the merge order of a BPE model; packed: ids as bytes of that integer type.
-
-    Exploding and joining to a broadcast table keep the order of rows, so the edges of a unit follow its first substring,
-    which is kept with the unit's text whether a piece or not; the stream is checked for that order.
-    """
-    rows = units.select("unit", "n", F.monotonically_increasing_id().alias("u")).withColumnRenamed("n", "count")
-    lattice = substrings(rows, vocabulary, "unit", "count", "u").join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece", "left")
-    head = (F.col("at") == 0) & (F.col("size") == 1)
-    lattice = lattice.filter(F.col("id").isNotNull() | head).select("u", F.when(head, F.col("unit")).alias("unit"), F.when(head, F.col("count")).alias("count"), "at", "size", F.coalesce("id", F.lit(-1)).alias("id"))
-    scores = np.full(vocabulary.size, -np.inf)
-    for _, i, score in vocabulary.pieces:
-        scores[i] = score
-    rank = np.unique(scores, return_inverse=True)[1].astype(np.int32)
-    longest, byte_ids, unknown = vocabulary.longest, vocabulary.byte_ids, vocabulary.unknown
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
-        held, last = 0, -1
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            names = table.column("unit").drop_null().to_pylist()
-            u, at, size, ids = (table.column(c).to_numpy() for c in ("u", "at", "size", "id"))
-            head = (at == 0) & (size == 1)
-            index = np.cumsum(head) - 1
-            if len(names) != index[-1] + 1 or not np.array_equal(u, u[head][index]) or (np.diff(u[head]) <= 0).any():
-                raise RuntimeError("the edges of a unit don't come together")
-            known = ids >= 0
-            found = fold_merges([normal(n) for n in names], index[known], at[known].astype(np.int64), size[known].astype(np.int64), ids[known], rank, longest, byte_ids, unknown)
-            counts = table.column("count").drop_null().combine_chunks()
-            if packed:
-                lists = pa.array([x.astype(packed).tobytes() for x in found], pa.binary())
-            else:
-                ends = np.cumsum([len(x) for x in found])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), counts, lists], ["unit", "n", "ids"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept.append(pa.Table.from_batches([batch]))
-            held += batch.num_rows
-            if held < 200_000:
-                continue
-            table = pa.concat_tables(kept)
-            u = table.column("u").to_numpy()
-            cut = int(np.searchsorted(u, u[-1]))
-            if cut:
-                yield flush(table.slice(0, cut))
-            kept, held = [table.slice(cut)], held - cut
-        if held:
-            yield flush(pa.concat_tables(kept))
-
-    return lattice.mapInArrow(run, f"unit string, n long, ids {'binary' if packed else 'array<int>'}")
-
-
-def encoded_units(units: DataFrame, vocabulary: Vocabulary, aggregate: bool = False) -> DataFrame:
-    """(unit, ids): ids of every distinct unit of column unit; aggregate: fold as a higher-order aggregate in any case."""
-    if vocabulary.bpe and not aggregate:
-        return merged_units(units.select("unit").distinct().withColumn("n", F.lit(0).cast("long")), vocabulary).select("unit", "ids")
+def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, ids): ids of every distinct unit of column unit, by the plan of DataFrame operations."""
     lattice = units.select("unit").distinct()
     lattice = lattice.join(edges(lattice, vocabulary), "unit", "left")
-    norm = normal_column(F.col("unit"))
     found = F.coalesce("edges", F.array().cast("array<struct<at:int,size:int,id:int,score:double>>"))
-    least = min((s for _, _, s in vocabulary.pieces), default=0.0)
-    bounds = merge_fold(F.col("norm"), F.col("edges")) if vocabulary.bpe else viterbi_fold(F.col("norm"), F.col("edges"), least - 10.0)
-    rows = lattice.select("unit", norm.alias("norm"), found.alias("edges"))
-    rows = rows.select("unit", "norm", "edges", bounds.alias("b"))
+    rows = lattice.select("unit", F.translate("unit", " ", SPACE).alias("norm"), found.alias("edges"))
+    bounds = merge_fold(F.col("norm"), F.col("edges")) if vocabulary.bpe else viterbi_fold(F.col("norm"), F.col("edges"), vocabulary.unknown_score)
     table = F.map_from_entries(F.transform("edges", lambda e: F.struct(_key(e["at"], e["size"]), e["id"])))
-    rows = rows.select("unit", "norm", "b", table.alias("t"))
+    rows = rows.select("unit", "norm", "edges", bounds.alias("b")).select("unit", "norm", "b", table.alias("t"))
     first_byte = vocabulary.byte_ids[0] if vocabulary.byte_ids else None
 
     def bytes_of(c: Column) -> Column:
@@ -300,28 +190,219 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary, aggregate: bool = Fa
         known = F.try_element_at("t", _key(at, size))
         return F.when(known.isNotNull(), F.array(known)).otherwise(bytes_of(F.substr("norm", at + 1, size)))
 
-    ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))
-    return rows.select("unit", ids.alias("ids"))
+    return rows.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
+
+
+class Lattice:
+    """The same for many units at once, given as bytes: explode, equi-join by 64-bit hash and length, group, fold."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pieces = [p.replace(SPACE, " ").encode() for p, _, _ in vocabulary.pieces]
+        size = np.array([len(p) for p in pieces], np.int64)
+        end = np.cumsum(size)
+        hashes = Hasher(np.frombuffer(b"".join(pieces), np.uint8))(end - size, end)
+        order = np.argsort(hashes)
+        self.hashes, self.sizes = hashes[order], size[order]
+        self.ids = np.array([i for _, i, _ in vocabulary.pieces], np.int32)[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(hashes)] = True
+        self.scores = np.full(vocabulary.size, -np.inf)
+        self.scores[self.ids] = np.array([s for _, _, s in vocabulary.pieces])[order]
+        self.rank = np.unique(self.scores, return_inverse=True)[1].astype(np.int64)
+        self.longest, self.bpe, self.unknown_score = vocabulary.longest, vocabulary.bpe, vocabulary.unknown_score
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int32) if vocabulary.byte_ids else None
+        self.unknown = vocabulary.unknown
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+    def edges(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte offsets of characters, characters ahead of each unit, and the piece [character, size] or -1."""
+        char = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(char, bounds)
+        stop = np.repeat(first[1:], np.diff(first))
+        at, hasher = np.arange(len(char)), Hasher(data)
+        char = np.r_[char, len(data)]
+        piece = np.full((len(at), self.longest + 1), -1, np.int32)
+        for size in range(1, self.longest + 1):
+            at = at[at + size <= stop[at]]
+            if not len(at):
+                break
+            s, e = char[at], char[at + size]
+            hashes = hasher(s, e)
+            hit = np.flatnonzero(self.maybe[self._slot(hashes)])
+            k = np.minimum(np.searchsorted(self.hashes, hashes[hit]), len(self.hashes) - 1)
+            same = (self.hashes[k] == hashes[hit]) & (self.sizes[k] == (e - s)[hit])
+            piece[at[hit[same]], size] = self.ids[k[same]]
+        return char, first, piece
+
+    def _free(self, piece: np.ndarray) -> np.ndarray:
+        """Whether no edge crosses the place before a character."""
+        at, size = np.nonzero(piece[:, 2:] >= 0)
+        n = len(piece) + 1
+        return np.cumsum(np.bincount(at + 1, minlength=n) - np.bincount(at + size + 2, minlength=n))[:-1] == 0
+
+    def _merged(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols [s, e) of all units after all merges."""
+        free = self._free(piece)
+        begin = np.flatnonzero(free)
+        size = np.diff(np.r_[begin, len(piece)])
+        out = [(begin[size == 1], begin[size == 1] + 1)]
+        for b, n in zip(begin[size > LONG].tolist(), size[size > LONG].tolist(), strict=True):
+            out.append(self._long(piece[b : b + n], b))
+        u = np.flatnonzero((size > 1) & (size <= LONG))
+        s = np.arange(int(size[u].sum())) - np.repeat(np.cumsum(size[u]) - size[u], size[u]) + np.repeat(begin[u], size[u])
+        e, u = s + 1, np.repeat(u, size[u])
+        while len(u):
+            first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            value = np.full(len(u), -1, np.int64)
+            span = np.r_[e[1:] - s[:-1], 0]
+            pair = np.flatnonzero(np.r_[u[1:] == u[:-1], False] & (span <= self.longest))
+            found = piece[s[pair], span[pair]]
+            pair, found = pair[found >= 0], found[found >= 0]
+            value[pair] = self.rank[found] * (1 << 32) + (1 << 31) - s[pair]
+            best = np.maximum.reduceat(value, first)
+            open_ = np.repeat(best >= 0, np.diff(np.r_[first, len(u)]))
+            if not open_.all():
+                out.append((s[~open_], e[~open_]))
+            take = np.flatnonzero(open_ & (value == np.repeat(best, np.diff(np.r_[first, len(u)]))))
+            e[take] = e[take + 1]
+            open_[take + 1] = False
+            u, s, e = u[open_], s[open_], e[open_]
+        s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(s)
+        return s[order], e[order]
+
+    def _long(self, piece: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+        """The merge order of one run by a heap of the pairs that may merge."""
+        n, longest, rank = len(piece), self.longest, self.rank
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = piece[: n - 1, 2]
+        hit = np.flatnonzero(first >= 0)
+        heap = list(zip((-rank[first[hit]]).tolist(), hit.tolist(), (hit + 1).tolist(), (hit + 2).tolist(), strict=True))
+        heapq.heapify(heap)
+        alive = bytearray(b"\1") * n
+        while heap:
+            _, a, mid, c = heapq.heappop(heap)
+            if not alive[a] or end[a] != mid or not alive[mid] or end[mid] != c:
+                continue
+            end[a], alive[mid] = c, 0
+            if c < n:
+                before[c] = a
+                stop = end[c]
+                if stop - a <= longest and (p := piece[a, stop - a]) >= 0:
+                    heapq.heappush(heap, (-int(rank[p]), a, c, stop))
+            if (b := before[a]) >= 0 and c - b <= longest and (p := piece[b, c - b]) >= 0:
+                heapq.heappush(heap, (-int(rank[p]), b, a, c))
+        s = np.flatnonzero(np.frombuffer(bytes(alive), np.uint8))
+        return s + ahead, np.r_[s[1:], n] + ahead
+
+    def _best(self, piece: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols [s, e) of the best sum of scores of each unit."""
+        out_s, out_e = [], []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            best, back = [0.0] + [-np.inf] * (b - a), [0] * (b - a + 1)
+            for end in range(1, b - a + 1):
+                for size in range(1, min(end, self.longest) + 1):
+                    p = piece[a + end - size, size]
+                    if p < 0 and size > 1:
+                        continue
+                    total = best[end - size] + (self.scores[p] if p >= 0 else self.unknown_score)
+                    if total >= best[end]:
+                        best[end], back[end] = total, end - size
+            cuts = [b - a]
+            while cuts[-1]:
+                cuts.append(back[cuts[-1]])
+            cuts = [a + c for c in reversed(cuts)]
+            out_s += cuts[:-1]
+            out_e += cuts[1:]
+        return np.array(out_s, np.int64), np.array(out_e, np.int64)
+
+    def _parts(self, unit: bytes) -> list[bytes]:
+        """A unit cut where no edge crosses, about every CUT_EVERY bytes."""
+        if not self.bpe or len(unit) <= 2 * CUT_EVERY:
+            return [unit]
+        data, cuts = np.frombuffer(unit, np.uint8), [0]
+        for k in range(CUT_EVERY, len(unit) - CUT_WITHIN, CUT_EVERY):
+            near = k + np.flatnonzero((data[k : k + CUT_WITHIN] & 0xC0) != 0x80)
+            if len(near) > 4 * self.longest:
+                part = data[near[0] : near[-1]]
+                char, _, piece = self.edges(part, np.array([0, len(part)]))
+                free = np.flatnonzero(self._free(piece)[self.longest : -self.longest])
+                if len(free):
+                    cuts.append(int(near[0] + char[self.longest + free[0]]))
+        return [unit[a:b] for a, b in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
+
+    def encode(self, units: list[bytes], kind: np.dtype) -> list[bytes]:
+        """The ids of each unit as bytes of an integer type."""
+        out: list[bytes] = []
+        wide = [u for u in units if len(u) > 2 * CUT_EVERY]
+        known = {u: b"".join(self._encode([p], kind)[0] for p in self._parts(u)) for u in wide}
+        units_, size, held = [], 0, []
+        for u in units:
+            if u in known:
+                continue
+            held.append(u)
+            size += len(u)
+            if size > AT_ONCE:
+                units_.append(held)
+                size, held = 0, []
+        for group in [*units_, held]:
+            if group:
+                out += self._encode(group, kind)
+        if not known:
+            return out
+        rest = iter(out)
+        return [known[u] if u in known else next(rest) for u in units]
+
+    def _encode(self, units: list[bytes], kind: np.dtype) -> list[bytes]:
+        data = np.frombuffer(b"".join(units), np.uint8)
+        char, first, piece = self.edges(data, np.cumsum([0, *map(len, units)]))
+        s, e = self._merged(piece) if self.bpe else self._best(piece, first)
+        ids = piece[s, np.minimum(e - s, self.longest)]
+        plain = ids >= 0
+        size = np.ones(len(ids), np.int64)
+        if self.byte_ids is not None:
+            size[~plain] = (char[e] - char[s])[~plain]
+        ends = np.cumsum(size)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, kind)
+        flat[ends[plain] - 1] = ids[plain]
+        if not plain.all():
+            if self.byte_ids is None:
+                flat[ends[~plain] - 1] = self.unknown
+            else:
+                n = size[~plain]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                flat[np.repeat(ends[~plain] - n, n) + step] = self.byte_ids[data[np.repeat(char[s[~plain]], n) + step]]
+        per = np.r_[0, ends][np.searchsorted(s, first)] * flat.itemsize
+        return list(map(flat.tobytes().__getitem__, map(slice, per[:-1].tolist(), per[1:].tolist())))
+
 
+def distinct_units(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different units of some texts, and the index of each unit among them."""
+    _, first, inverse = np.unique(Hasher(data)(s, e), return_index=True, return_inverse=True)
+    return list(map(data.tobytes().__getitem__, map(slice, s[first].tolist(), e[first].tolist()))), inverse
 
-def unit_counts(docs: DataFrame) -> DataFrame:
+
+def unit_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n) of all texts."""
+    joint = joints(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], ["unit", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["unit", "n"])
             held.clear()
             return out
 
         for batch in batches:
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                for units in units_of(text):
-                    held.update(units)
-                if k % 64 == 0 and len(held) > FLUSH:
+            for _, _, data, at in slices(*text_buffers(batch.column(0))):
+                data, _, s, e, _ = unit_bounds(data, at, joint)
+                units, index = distinct_units(data, s, e)
+                for u, n in zip(units, np.bincount(index, minlength=len(units)).tolist(), strict=True):
+                    held[u] = held.get(u, 0) + n
+                if len(held) > FLUSH:
                     yield flush()
         if held:
             yield flush()
@@ -329,129 +410,61 @@ def unit_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+def frequent_units(docs: DataFrame, vocabulary: Vocabulary, hot: int) -> list[tuple[bytes, list[int]]]:
+    """The most frequent units of all texts, with their ids."""
+    counted = materialize(unit_counts(docs, vocabulary), "units")
+    often = most_frequent(counted.filter(F.octet_length("unit") <= MOST_BYTES), "n", hot).select("unit")
+    spread = often.repartition(max(8, often.sparkSession.sparkContext.defaultParallelism), "unit")
+    got = encoded_units(spread, vocabulary).toArrow()
+    discard(counted)
+    return [(u.encode(), ids) for u, ids in zip(got.column("unit").to_pylist(), got.column("ids").to_pylist(), strict=True)]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, known: int = KNOWN) -> DataFrame:
     """(doc_id, ids, restored) for every row of docs.
 
-    A null or empty text has no ids; repeated rows and null ids are kept; an empty table gives an empty result.
+    A null or empty text has no ids; repeated rows and null ids of any type are kept; an empty table gives an empty
+    result; other columns don't matter.
     """
-    spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    kind = dict(rows.dtypes)["doc_id"]
-    counted = unit_counts(rows)
-    words = materialize(counted, "units")
-    del counted
-    release(spark)
-    width = "<u2" if vocabulary.size <= 1 << 16 else "<i4"
-    known = materialize(merged_units(words, vocabulary, width) if vocabulary.bpe else _packed(encoded_units(words, vocabulary).join(words, "unit"), width), "encoded")
-    discard(words)
-    release(spark)
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk))
-    often, seldom = split_frequent(known, "n", hot)
-    sink = pa.BufferOutputStream()
-    top = often.select("unit", "ids").toArrow()
-    with pa.ipc.new_stream(sink, top.schema) as out:
-        out.write_table(top)
-    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    line_end = np.array(vocabulary.byte_ids[10:11] or [vocabulary.unknown], width).tobytes()
-    held: dict[str, dict[str, bytes]] = {}
-
-    def frequent(kind: type[dict] = dict) -> dict[str, bytes]:
-        """A set is only subtracted fast from a plain dict."""
-        if not held:
-            held["hot"] = kind(_dictionary(pa.ipc.open_stream(shared.value).read_all()))
-        return held["hot"]
-
-    placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent()
-        seen: dict[int, set[str]] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            at = np.repeat(np.array(list(seen), np.int64), [len(x) for x in seen.values()])
-            out = pa.RecordBatch.from_arrays([pa.array(at), pa.array([u for x in seen.values() for u in x], pa.string())], ["chunk", "unit"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = seen.setdefault(c, set())
-                size -= len(own)
-                found: set[str] = set()
-                for units in units_of(text):
-                    found.update(units)
-                own |= found.difference(table)
-                size += len(own)
-                if size > FLUSH:
-                    yield flush()
-                    size = 0
-        if seen:
-            yield flush()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a chunk in a batch as one compressed value."""
-        squeeze = zstandard.ZstdCompressor(3)
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            for c in np.unique(at):
-                part = pa.record_batch([batch.column(k).take(pa.array(np.flatnonzero(at == c))) for k in (1, 2)], names=["doc_id", "text"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["chunk", "rows"])
-
-    names = ["doc_id", "ids", "restored"]
-    texts_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    pieces = vocabulary.texts
-
-    def finish(units: pa.Table, texts: pa.Table) -> pa.Table:
-        both = frequent(Frequent)
-        both.own = _dictionary(units)
-        out = []
-        for value in texts.column("rows"):
-            part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(value.as_py())).read_all().combine_chunks()
-            found, sizes, same = [], [0], []
-            for text in part.column("text").to_pylist():
-                raw = line_end.join([b"".join(map(both.__getitem__, line)) for line in units_of(text)])
-                ids = np.frombuffer(raw, width)
-                found.append(ids)
-                sizes.append(len(ids))
-                same.append(text_of(ids, pieces) == (text.replace(SPACE, " ") if SPACE in text else text))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
-            out.append(pa.table([part.column("doc_id"), lists, pa.array(same)], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], texts_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.bool_())], names=names)
-
-    # Pairs that several tasks ask for may repeat: a dictionary doesn't mind.
-    wanted = placed.select("chunk", "text").mapInArrow(rare, "chunk long, unit string")
-    own = wanted.join(seldom.select("unit", "ids"), "unit").select("chunk", "unit", "ids")
-    packs = placed.mapInArrow(pack, "chunk long, rows binary")
-    return own.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, ids array<int>, restored boolean")
-
-
-class Frequent(dict):
-    """Ids of the frequent units; others are looked up in `own`, the dictionary of the chunk at hand."""
-
-    own: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        return self.own[unit]
-
-
-def _packed(encoded: DataFrame, width: str) -> DataFrame:
-    """(unit, n, ids) with ids as bytes."""
+    width = np.dtype("<u2" if vocabulary.size <= 1 << 16 else "<i4")
+    often = {u: np.array(ids, width).tobytes() for u, ids in frequent_units(rows, vocabulary, hot)}
+    shared = docs.sparkSession.sparkContext.broadcast((often, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, vocabulary = shared.value
+        lattice, met, joint = Lattice(vocabulary), dict(often), joints(vocabulary)
+        piece_size = np.array([len(t) for t in vocabulary.texts], np.int64)
+        piece_at, piece_bytes = np.cumsum(piece_size) - piece_size, np.frombuffer(b"".join(vocabulary.texts), np.uint8)
         for batch in batches:
-            ids = [np.array(x, width).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["unit", "n", "ids"])
-
-    return encoded.select("unit", "n", "ids").mapInArrow(run, "unit string, n long, ids binary")
-
-
-def _dictionary(table: pa.Table) -> dict[str, bytes]:
-    return dict(zip(table.column("unit").to_pylist(), table.column("ids").to_pylist(), strict=True))
+            for lo, hi, data, at in slices(*text_buffers(batch.column(1))):
+                data, at, s, e, row = unit_bounds(data, at, joint)
+                units, index = distinct_units(data, s, e)
+                found = list(map(met.get, units))
+                if None in found:
+                    if len(met) > known + len(often):
+                        met = dict(often)
+                    fresh = [u for u, x in zip(units, found, strict=True) if x is None]
+                    learnt = dict(zip(fresh, lattice.encode(fresh, width), strict=True))
+                    met.update((u, x) for u, x in learnt.items() if len(u) <= 4 * MOST_BYTES)
+                    found = [learnt[u] if x is None else x for u, x in zip(units, found, strict=True)]
+                size = np.array(list(map(len, found)), np.int64) // width.itemsize
+                pool = np.frombuffer(b"".join(found), width)
+                own = size[index]
+                total = int(own.sum())
+                ids = pool[np.arange(total) + np.repeat((np.cumsum(size) - size)[index] - (np.cumsum(own) - own), own)]
+                ends = np.r_[0, np.cumsum(np.bincount(row, own, len(at) - 1))].astype(np.int32)
+                long_ = piece_size[ids]
+                back = piece_bytes[np.arange(int(long_.sum())) + np.repeat(piece_at[ids] - (np.cumsum(long_) - long_), long_)]
+                if len(back) == len(data):
+                    same = np.ones(hi - lo, bool)
+                    same[np.searchsorted(at, np.flatnonzero(back != data), "right") - 1] = False
+                else:
+                    cut = np.r_[0, np.cumsum(long_)][ends]
+                    same = np.array([np.array_equal(back[cut[k] : cut[k + 1]], data[at[k] : at[k + 1]]) for k in range(hi - lo)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))), pa.array(same)], ["doc_id", "ids", "restored"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, restored boolean")
 
 
 def text_of(ids: np.ndarray, pieces: list[bytes]) -> str:
