@@ -2,13 +2,15 @@
 
 One frequency table, counted over all ids, serves every block. A block holds whole documents and is coded by itself:
 token i of a block belongs to lane i mod LANES, all lanes advance together, and their 32-bit words are interleaved in
-the order in which the decoder asks for them. Checkpoints keep the word position and all lane states every few steps,
-so that a reader can start inside a block; a CRC-32 of the ids and one of the words guard it.
+the order in which the decoder asks for them. Checkpoints keep the word position and all lane states every few steps:
+a reader can start inside a block, and a whole block is decoded from all its checkpoints side by side, as one wider set
+of lanes. A CRC-32 of the ids and one of the words guard it.
 
 Block layout, little-endian: magic 'TRS1', u32 tokens, u32 lanes, u32 steps between checkpoints, u32 table id, u32
 crc of ids, u32 words, u32 crc of words; lane states at the start, lanes x u64; for each checkpoint u32 word position
 and lanes x u64 states; then the words, u32 each. Blocks are rows of a Parquet table, since any store that Spark can
-write can hold them; the table of frequencies is a row of its own.
+write can hold them. The frequencies are one more row of it (part -1): magic 'TRT1', u32 ids, u32 crc, then a u32 for
+each id. So the table is all that a reader needs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tessera.llm.common import id_text, load, materialize, text_buffers
+from tessera.llm.common import discard, id_text, load, materialize, text_buffers
 from tessera.llm.kernel import Hasher, slices, word_bounds
 
 BITS = 20  # frequencies sum to 2 ** BITS
@@ -66,6 +68,17 @@ class Table:
             rest += int(take.sum())
         return cls(freq)
 
+    def to_bytes(self) -> bytes:
+        return struct.pack("<4s2I", b"TRT1", len(self.freq), self.id) + self.freq.astype("<u4").tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Table:
+        magic, n, crc = struct.unpack_from("<4s2I", raw)
+        table = cls(np.frombuffer(raw, "<u4", offset=12)) if magic == b"TRT1" else None
+        if table is None or len(table.freq) != n or table.id != crc:
+            raise ValueError("not a table of frequencies, or a damaged one")
+        return table
+
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
@@ -115,30 +128,41 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
     words = np.frombuffer(block, "<u4", n_words, at + marks * (4 + 8 * lanes))
     if zlib.crc32(words.tobytes()) != words_crc:
         raise ValueError("damaged words")
-    mark = min(first // lanes // every, marks)
-    if mark:
-        at += (mark - 1) * (4 + 8 * lanes)
-        (w,) = struct.unpack_from("<I", block, at)
-        state = np.frombuffer(block, "<u8", lanes, at + 4).astype(np.uint64)
-    else:
-        w, state = 0, np.frombuffer(block, "<u8", lanes, _HEAD.size).astype(np.uint64)
-    begin = mark * every
-    end = -(-last // lanes)
-    out = np.empty(max(0, min(n, end * lanes) - begin * lanes), np.uint32)
+    # One row of lanes for each checkpoint from the one before `first` to the one before `last`.
+    mark, until = min(first // lanes // every, marks), min(max(0, last - 1) // lanes // every, marks)
+    begin, end = mark * every, -(-last // lanes)
+    state = np.empty((until - mark + 1, lanes), np.uint64)
+    w = np.zeros(len(state), np.int64)
+    for k in range(len(state)):
+        if not (m := mark + k):
+            state[k] = np.frombuffer(block, "<u8", lanes, at - 8 * lanes)
+        else:
+            w[k] = struct.unpack_from("<I", block, at + (m - 1) * (4 + 8 * lanes))[0]
+            state[k] = np.frombuffer(block, "<u8", lanes, at + (m - 1) * (4 + 8 * lanes) + 4)
+    out = np.empty(((end - begin), lanes), np.uint32) if end > begin else np.empty((0, lanes), np.uint32)
     mask, bits, word = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
     slots, freq, cum = table.slots, table.freq, table.cum
-    for step in range(begin, end):
-        width = min(n - step * lanes, lanes)
-        x = state[:width]
+    firsts = np.arange(len(state)) * every
+    for step in range(min(every, end - begin)):
+        live = int(np.searchsorted(firsts + step, end - begin))  # the last rows end first
+        x = state[:live].ravel()
+        tail = begin + firsts[live - 1] + step == steps - 1 and n % lanes
+        if tail:
+            x = x[: (live - 1) * lanes + tail]
         slot = x & mask
         ids = slots[slot.astype(np.int64)]
         x = freq[ids] * (x >> bits) + slot - cum[ids]
         low = np.flatnonzero(x < LOW)
         if len(low):
-            x[low] = (x[low] << word) | words[w : w + len(low)]
-            w += len(low)
-        state[:width] = x
-        out[(step - begin) * lanes : (step - begin) * lanes + width] = ids
+            own = low // lanes
+            count = np.bincount(own, minlength=live)
+            x[low] = (x[low] << word) | words[np.arange(len(low)) + (w[:live] - (np.cumsum(count) - count))[own]]
+            w[:live] += count
+        state[:live].reshape(-1)[: len(x)] = x
+        flat = np.empty(live * lanes, np.uint32)
+        flat[: len(ids)] = ids
+        out[firsts[:live] + step] = flat.reshape(live, lanes)
+    out = out.ravel()[: min(n, end * lanes) - begin * lanes] if end > begin else out.ravel()
     if first == 0 and last == n and zlib.crc32(out.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("damaged block")
     return out[first - begin * lanes : last - begin * lanes]
@@ -370,10 +394,11 @@ BLOCK_SCHEMA = "part long, seq long, before long, n_docs long, n_tokens long, le
 
 
 def write_blocks(tokens: DataFrame, table: Table, id_kind: str = "<u4", block: int = BLOCK) -> DataFrame:
-    """Blocks in ascending order of doc_id, written and reread; `before` counts the ids of a part ahead of a block."""
+    """Blocks in ascending order of doc_id and the table, written and reread; `before` counts the ids of a part ahead of a block."""
     kind = dict(tokens.dtypes)["doc_id"]
     width = int(id_kind[-1])
-    ordered = tokens.filter("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.filter("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
     freq = table.freq.astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,17 +428,23 @@ def write_blocks(tokens: DataFrame, table: Table, id_kind: str = "<u4", block: i
         if ids:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, f"{BLOCK_SCHEMA}, docs array<{kind}>"), "blocks", "uncompressed")
+    schema = f"{BLOCK_SCHEMA}, docs array<{kind}>"
+    shared = tokens.sparkSession.createDataFrame([(-1, 0, 0, 0, 0, b"", table.to_bytes(), [])], schema)
+    return materialize(ordered.mapInArrow(run, schema).union(shared), "blocks", "uncompressed")
 
 
-def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
+def read_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the written blocks."""
-    kind = dict(blocks.dtypes)["docs"][6:-1]
-    freq = table.freq.astype("<u4").tobytes()
+    kind = blocks.schema["docs"].dataType.elementType.simpleString()
+    table = blocks.filter("part = -1").select("payload").first()
+    if table is None:
+        raise ValueError("the table of frequencies is missing")
+    freq = bytes(table[0])
+    blocks = blocks.filter("part >= 0")
     names = ["doc_id", "part", "at", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = Table(np.frombuffer(freq, "<u4"))
+        shared = Table.from_bytes(freq)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
@@ -435,13 +466,15 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write and read back all of docs: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts have one id, the end. Repeated ids follow each other, in the order of their token ids; null
-    ids come first; an empty table gives an empty result.
+    Null and empty texts have one id, the end. Rows of a repeated id follow each other, in the order of a hash of their
+    token ids; null ids come first; an empty table gives an empty result; other columns don't matter.
     """
     tokens, kind = tokenized(docs, path, end_id, id_col, text_col)
     tokens = materialize(tokens, "tokens")
     table = shared_table(tokens)
-    return read_blocks(write_blocks(tokens, table, kind), table)
+    blocks = write_blocks(tokens, table, kind)
+    discard(tokens)
+    return read_blocks(blocks)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

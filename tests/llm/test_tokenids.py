@@ -68,3 +68,30 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b c")], "doc_id long, text string")
     assert sorted(r.start for r in T.round_trip(df, PATH).collect()) == [0, 3, 5]
     assert T.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_the_files_stand_alone(spark, tmp_path):
+    """Another session's reader has the written table of blocks, nothing else."""
+    rows = [(k, "word %d and more " % (k % 7) * (k + 1)) for k in range(50)]
+    tokens, kind = T.tokenized(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    tokens = tokens.cache()
+    blocks = T.write_blocks(tokens, T.shared_table(tokens), kind, block=500)
+    path = blocks._tessera_path
+    got = {r.doc_id: r.n_tokens for r in T.read_blocks(spark.read.parquet(path)).collect()}
+    lib = Tokenizer.from_file(PATH)
+    assert got == {k: len(lib.encode(t, add_special_tokens=False).ids) + 1 for k, t in rows}
+    raw = blocks.filter("part = -1").first().payload
+    assert np.array_equal(T.Table.from_bytes(bytes(raw)).freq, T.shared_table(tokens).freq)
+    with pytest.raises(ValueError):
+        T.Table.from_bytes(bytes(raw[:-1]) + b"\x07")
+    with pytest.raises(ValueError):
+        T.read_blocks(spark.read.parquet(path).filter("part >= 0"))
+
+
+def test_long_texts_and_other_columns(spark):
+    text = "a few words, then some more.\n" * 40_000
+    df = spark.createDataFrame([(2, text, "x", 5), (1, "日本" * 200_000, None, 6)], "doc_id long, text string, ids string, part int")
+    lib = Tokenizer.from_file(PATH)
+    got = T.round_trip(df, PATH).orderBy("doc_id").collect()
+    sizes = [len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in ("日本" * 200_000, text)]
+    assert [(r.start, r.n_tokens) for r in got] == [(0, sizes[0]), (sizes[0], sizes[1])]
