@@ -4,7 +4,10 @@ Base detectors read the text as it stands. A second reading passes the text thro
 emits normalised characters together with the source interval that produced them: homoglyphs (full-width forms,
 look-alike letters, invisible characters), spelled digits ("four two"), and at/dot disguises ("bob (at) mail dot com").
 Identifiers are detected in the normalised text and their spans are mapped back to source characters through the kept
-intervals. Spans that a base detector already covers are not repeated.
+intervals. A span within one that a base detector already gives is not repeated; one that reaches further is added.
+
+Every finder is linear in the text: patterns start only at the beginning of a run, and disguises are found from their
+anchors ("@", "at", "dot", a digit word) outward, so that long runs of letters, digits or spaces cost one look each.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +27,8 @@ from tessera.llm.common import id_text, load
 KINDS = ("email", "ip", "card", "phone")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match from within a run of digits would also be one from its beginning, so only that is tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -37,21 +43,24 @@ HOMOGLYPHS = {
     "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\ufe6b": "@", "\u00a0": " ", "\u202f": " ", "\u2009": " ",
     "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "",
 }
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
 
 # Last labels that an address written with a bare "at" must have, since "at" is also a plain word.
 ENDINGS = frozenset("com org net edu gov mil int info biz io co me us uk de fr es it eu ch at nl".split())
-
-_AT = r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*\s@\s*|@\s+"
-_DOT = r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+"
-DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-# A whole disguised address, so that prose such as "look at it" is left alone: some dot, plain or spelled, must follow.
-DISGUISED_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
-DOTTED = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}", re.I)
-_SPELLED = re.compile(r"(?:\bplus\b|\+)?[\s-]*(?:\b(?:" + "|".join(DIGIT_WORDS) + r")\b|[0-9])(?:[\s-]+(?:\b(?:" + "|".join(DIGIT_WORDS) + r")\b|[0-9]+))+", re.I)
-_SPELLED_TOKEN = re.compile(r"\bplus\b|\b(?:" + "|".join(DIGIT_WORDS) + r")\b", re.I)
-_HINT_AT = re.compile(r"[\[({<]\s*(?:at|dot|punkt|punto|point|\.)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s", re.I)
-_HINT_DIGITS = re.compile(r"\b(?:one|two|three|four|five|six|seven|eight|nine|zero)[\s-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])", re.I)
+WORDS = frozenset("it me us at".split())  # of these, those that begin a sentence behind a plain dot
+
+_OPEN, _CLOSE = frozenset("[({<"), frozenset("])}>")
+_AT = re.compile(r"@|\bat\b", re.I)
+_DOT = re.compile(r"\b(?:dot|punkt|punto|point)\b|(?<=[\[({<\s])\.(?=[\])}>\s])", re.I)
+_DOMAIN_SET = _LOCAL_SET - frozenset("._%+")
+_DIGIT_TOKEN = re.compile(r"\+|\b(?:plus|" + "|".join(DIGIT_WORDS) + r")\b|(?<![^\W_])[0-9]{1,4}(?![^\W_])", re.I)
+_DIGIT_WORD = re.compile(r"\b(?:" + "|".join(w for w in DIGIT_WORDS if w not in ("oh", "un")) + r")\b", re.I)
+_GAP = re.compile(r"[\s-]+")
 _HINT_GLYPH = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "\uff01-\uff5e\u2460-\u249b\u0660-\u0669\u06f0-\u06f9\U0001d400-\U0001d7ff]")
 
 
@@ -112,23 +121,23 @@ class Tape:
     """Normalised text in which every character knows the source interval it came from."""
 
     def __init__(self, text: str):
-        self.text, self.begin, self.end = text, range(len(text)), range(1, len(text) + 1)
+        self.text, self.begin, self.end = text, array("q", range(len(text))), array("q", range(1, len(text) + 1))
 
     def rewrite(self, pieces: list[tuple[int, int, str]]) -> None:
         """Replace [s, e) of the present text by a string, for ascending disjoint intervals; a deleted one widens nothing."""
         if not pieces:
             return
-        text, begin, end, at = [], [], [], 0
+        text, begin, end, at = [], array("q"), array("q"), 0
         for s, e, new in pieces:
             text.append(self.text[at:s])
             begin += self.begin[at:s]
             end += self.end[at:s]
             text.append(new)
-            begin += [self.begin[s]] * len(new)
-            end += [self.end[e - 1]] * len(new)
+            begin.extend([self.begin[s]] * len(new))
+            end.extend([self.end[e - 1]] * len(new))
             at = e
         text.append(self.text[at:])
-        self.begin, self.end = begin + list(self.begin[at:]), end + list(self.end[at:])
+        self.begin, self.end = begin + self.begin[at:], end + self.end[at:]
         self.text = "".join(text)
 
     def source(self, s: int, e: int) -> tuple[int, int]:
@@ -148,33 +157,113 @@ def glyph_pieces(text: str) -> list[tuple[int, int, str]]:
 
 
 def digit_pieces(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits in runs of at least nine; spaces within a run go, a leading 'plus' becomes a sign."""
-    out = []
-    for run in _SPELLED.finditer(text):
-        tokens = re.findall(r"[A-Za-z]+|[0-9]|\+", run[0])
-        if sum(t != "+" and t.lower() != "plus" for t in tokens) < 9 or not _SPELLED_TOKEN.search(run[0]):
-            continue
-        at = run.start()
-        for m in re.finditer(r"[A-Za-z]+|[0-9]|\+", run[0]):
-            s, e = run.start() + m.start(), run.start() + m.end()
-            if s > at and out and out[-1][0] >= run.start():
-                out.append((at, s, ""))
-            word = m[0].lower()
-            out.append((s, e, "+" if word == "plus" else DIGIT_WORDS.get(word, m[0])))
-            at = e
+    """Digits in runs of at least nine, one of them spelled; spaces within a run go, a leading 'plus' becomes a sign."""
+    out: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str]] = []
+
+    def close() -> None:
+        if sum(len(new) for _, _, new in run if new != "+") >= 9 and any(text[s:e].lower() in DIGIT_WORDS for s, e, _ in run):
+            for k, (s, e, new) in enumerate(run):
+                if k and s > run[k - 1][1]:
+                    out.append((run[k - 1][1], s, ""))
+                out.append((s, e, new))
+        run.clear()
+
+    for m in _DIGIT_TOKEN.finditer(text):
+        s, e = m.span()
+        word = m[0].lower()
+        new = "+" if word in ("+", "plus") else DIGIT_WORDS.get(word, m[0])
+        if run and (new == "+" or not (run[-1][2] == "+" and s == run[-1][1] or _GAP.fullmatch(text, run[-1][1], s))):
+            close()
+        run.append((s, e, new))
+    close()
     return out
 
 
+def _around(text: str, s: int, e: int) -> tuple[int, int, bool]:
+    """An anchor [s, e) with the brackets around it, if any, and the white space around those; and whether it has brackets."""
+    a, b = s, e
+    while a and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    if not (a and b < len(text) and text[a - 1] in _OPEN and text[b] in _CLOSE):
+        return a, b, False
+    a, b = a - 1, b + 1
+    while a and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b, True
+
+
 def disguise_pieces(text: str) -> list[tuple[int, int, str]]:
-    out, done = [], 0
-    for finder in (DISGUISED_EMAIL, DOTTED):
-        for whole in finder.finditer(text):
-            bare = finder is DISGUISED_EMAIL and not re.search(r"[\[({<@]", whole[0])
-            if bare and re.split(r"[\s.]+", whole[0])[-1].lower() not in ENDINGS:
-                continue
-            out += [(whole.start() + m.start(), whole.start() + m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(whole[0])]
-    kept = []
-    for piece in sorted(out):
+    """Marks of disguised addresses, from their anchors outward.
+
+    Prose such as "look at it" is left alone: a dot, plain or spelled, must follow, and behind a bare "at" a known ending.
+    """
+    starts: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for m in _DOT.finditer(text):
+        a, b, framed = _around(text, *m.span())
+        if framed or m[0] != "." and a < m.start() and m.end() < b:
+            starts[a], ends[b] = b, a
+    out: list[tuple[int, int, str]] = []
+    done = 0
+    for m in _AT.finditer(text):
+        a, b, framed = _around(text, *m.span())
+        plain = m[0] == "@"
+        if not framed and not plain and (a == m.start() or b == m.end()):
+            continue
+        dots = []
+        begin = a
+        while begin > done and text[begin - 1] in _LOCAL_SET:
+            begin -= 1
+        if begin == a:
+            continue
+        while begin in ends and ends[begin] > done:
+            more = ends[begin]
+            k = more
+            while k > done and text[k - 1] in _LOCAL_SET:
+                k -= 1
+            if k == more:
+                break
+            dots.append((more, begin, "."))
+            begin = k
+        k, labels, last, spelled = b, 0, b, False
+        while True:
+            last = k
+            while k < len(text) and text[k] in _DOMAIN_SET:
+                k += 1
+            if k == last:
+                break
+            labels += 1
+            end, label, known = k, text[last:k].lower(), ENDINGS if spelled else ENDINGS - WORDS
+            spelled = k in starts
+            if spelled:
+                dots.append((k, starts[k], "."))
+                k = starts[k]
+            elif k + 1 < len(text) and text[k] == "." and text[k + 1] in _DOMAIN_SET:
+                k += 1
+            else:
+                break
+        if labels < 2 or not (plain or framed or label in known):
+            continue
+        out += [d for d in dots if d[1] <= end]
+        if (a, b) != m.span() or not plain:
+            out.append((a, b, "@"))
+        done = end
+    if starts:
+        chain: list[tuple[int, int]] = []
+        for m in re.finditer(r"[0-9]++", text):
+            if chain and not (chain[-1][1] + 1 == m.start() and text[chain[-1][1]] == "." or starts.get(chain[-1][1]) == m.start()):
+                chain = []
+            chain = [*chain, m.span()] if m.end() - m.start() <= 3 else []
+            if len(chain) == 4:
+                out += [(e, s, ".") for (_, e), (s, _) in zip(chain[:-1], chain[1:], strict=True) if e in starts]
+                chain = []
+    kept, done = [], 0
+    for piece in sorted(set(out)):
         if piece[0] >= done:
             kept.append(piece)
             done = piece[1]
@@ -183,23 +272,21 @@ def disguise_pieces(text: str) -> list[tuple[int, int, str]]:
 
 def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Identifiers that only the normalised text shows, mapped back to the source."""
-    glyph, spelled, at = bool(_HINT_GLYPH.search(text)), bool(_HINT_DIGITS.search(text)), bool(_HINT_AT.search(text))
-    if not (glyph or spelled or at):
+    tape, now = None, text
+    # Each reading runs wherever one of its anchors stands, so that what it finds doesn't depend on other text.
+    for hints, pieces in (((_HINT_GLYPH,), glyph_pieces), ((_DIGIT_WORD,), digit_pieces), ((_AT, _DOT), disguise_pieces)):
+        if any(h.search(now) for h in hints) and (found := pieces(now)):
+            tape = tape or Tape(text)
+            tape.rewrite(found)
+            now = tape.text
+    if tape is None:
         return []
-    tape = Tape(text)
-    if glyph:
-        tape.rewrite(glyph_pieces(tape.text))
-        spelled, at = bool(_HINT_DIGITS.search(tape.text)), bool(_HINT_AT.search(tape.text))
-    if spelled:
-        tape.rewrite(digit_pieces(tape.text))
-    if at:
-        tape.rewrite(disguise_pieces(tape.text))
-    if tape.text == text:
-        return []
-    out, taken = [], {k: [(s, e) for s, kind, e in known if kind == k] for k in range(4)}
+    out = []
+    base = [[(s, e) for s, kind, e in known if kind == k] for k in range(4)]
     for s, kind, e in base_spans(tape.text):
         a, b = tape.source(s, e)
-        if not any(x < b and a < y for x, y in taken[kind]):
+        at = bisect_right(base[kind], (a, len(text) + 1)) - 1
+        if at < 0 or base[kind][at][1] < b:
             out.append((a, kind, b))
     return out
 

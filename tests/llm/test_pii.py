@@ -1,4 +1,6 @@
 import hashlib
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,15 +9,21 @@ from hypothesis import strategies as st
 from tessera.llm import pii as P
 
 
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
 def brute(text):
     text = text or ""
-    found = [(m.start(), 0, m.end()) for m in P.EMAIL.finditer(text)]
-    found += [(m.start(), 1, m.end()) for m in P.IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
-    for m in P.CARD.finditer(text):
+    found = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
         d = [int(c) for c in m[0] if c.isdigit()]
         if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
             found.append((m.start(), 2, m.end()))
-    found += [(m.start(), 3, m.end()) for m in P.PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
     return sorted(found)
 
 
@@ -49,6 +57,41 @@ def test_plain_prose_is_left_alone(text):
     assert P.find(text) == (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("reach bob@mail.example dot com", ["email:6:22", "email:6:30"]),
+        ("bob at example.com", ["email:0:18"]),
+        ("bob dot smith at example dot co dot uk!", ["email:0:38"]),
+        ("bob(@)mail.example.org,", ["email:0:22"]),
+        ("x <at> y <dot> z and a.b @ c.de", ["email:0:16", "email:21:31"]),
+        ("0 1 7 1 5 5 5 2 6 seven", []),
+        ("+ 4 nine one seven one 5 5 5 2 6 seven", ["phone:0:38"]),
+        ("plus vier neun eins sieben eins fünf fünf fünf zwei sechs", ["phone:0:57"]),
+        ("10.0 dot 0 [.] 1", ["ip:0:16"]),
+        ("meet at noon. dot", []),
+        ("look at me.it is", []),
+        ("bob at site dot it", ["email:0:18"]),
+    ],
+)
+def test_hidden_spans(text, spans):
+    got = [s for s in P.find(text)[-1].split(",") if s]
+    assert got == spans
+
+
+def test_what_is_found_does_not_depend_on_other_text():
+    assert P.find("bob at example.com")[-1] == "email:0:18"
+    assert P.find("bob at example.com and foo @ nothing")[-1] == "email:0:18"
+
+
+@pytest.mark.parametrize("fill", ["a", "1", " ", "a ", "1.", "1 ", "one ", "at ", "a at ", "dot ", "@", "a@", "+1 ", "(at)", "a dot b ", ". ", "-", "\n", "é", "x at y dot "])
+def test_linear_time(fill):
+    text = (fill * 1_000_000)[:1_000_000] + " x [at] y dot com one two а +"
+    began = time.time()
+    P.find(text)
+    assert time.time() - began < 12
+
+
 def test_query_rows(spark):
     rows = [(1, "a@b.co x"), (1, "a@b.co x"), (None, None), (3, ""), (4, "z" * 300_000 + " +1 (988) 555-2485")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
