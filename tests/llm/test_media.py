@@ -1,6 +1,7 @@
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -34,6 +35,21 @@ def test_types_are_corrected_carved_and_checked(kind, value):
     assert M.true_type(value[:-1], "text/plain") == ("text/plain", False)
 
 
+@pytest.mark.parametrize("piece", [b"%PDF-1.", b"PK\3\4", b"PK\5\6" + b"\0" * 18, b"\xff\xd8\xff\xda\0\2a", b"BM", b"P5 1 1 255 ", b"startxref", b"%%EOF", b"%PDF-1.startxref"])
+def test_many_marks_take_linear_time(piece):
+    began = time.time()
+    M.sniff(piece * (2_000_000 // len(piece)))
+    assert time.time() - began < 20
+
+
+def test_declared_types_are_corrected(spark):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "doc_id long, text string")
+    media = M.materialize(M.stored(df), "t")
+    declared = {r.doc_id: r.declared for r in media.collect()}
+    rows = M.features(media).collect()
+    assert {r.corrected for r in rows} == {True, False} and all(r.corrected == (r.sniffed != declared[r.doc_id]) for r in rows)
+
+
 def test_wave_reads_elsewhere():
     with wave.open(io.BytesIO(M.wav(bytes(range(64))))) as w:
         assert (w.getnchannels(), w.getsampwidth(), w.readframes(99)) == (1, 1, bytes(range(64)))
