@@ -1,8 +1,9 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-A document is a bag of passages; only the bag has a label. Every passage is encoded by character-class shares and word
-statistics, lifted by a tanh layer, and given a gated attention weight; the weighted mean passage is scored by a
-logistic output. The passages cover the whole text: a passage has PASSAGE bytes, or a 64th of a longer text.
+A document is a bag of passages; only the bag has a label. Every passage is encoded by itself, by character-class shares,
+word statistics and a hashed bag of its words, all lifted by a tanh layer that is learnt from the labels too; it is given
+a gated attention weight, and the weighted mean passage is scored by a logistic output. The passages cover the whole text:
+a passage has PASSAGE bytes, or a 64th of a longer text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from tessera.llm.kernel import Hasher, slices, word_bounds
 
 PASSAGE = 600
 MOST_PASSAGES = 64
+LONG_ROW = 4 << 20
 SAMPLE = 8_000  # labelled documents that the model is fitted on, at most
 HIDDEN = 12
 THRESHOLD = 0.3
 
 # Byte classes: upper, lower, digit, space, line end, stop, comma, bang, hash/star, money/percent/amp, bar, bracket, quote, dash, other ASCII, beyond ASCII.
 _CLASSES = 16
-N_FEATURES = _CLASSES + 12
+_STATISTICS = _CLASSES + 9
+WORD_BUCKETS = 32
+N_FEATURES = _STATISTICS + WORD_BUCKETS
 
 
 def _class_table() -> np.ndarray:
@@ -43,6 +47,14 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Features [n, N_FEATURES] of the passages of some rows, and the bounds of each row's passages; no row has none."""
     sizes = np.diff(offsets)
     width = np.maximum(PASSAGE, -(-sizes // MOST_PASSAGES))
+    if len(sizes) == 1 and sizes[0] > LONG_ROW:  # one passage at a time; a word over a bound is two
+        parts = [_encoded(data[k : k + width[0]], np.array([0, min(width[0], len(data) - k)]), width)[0] for k in range(0, len(data), int(width[0]))]
+        return np.concatenate(parts), np.array([0, len(parts)])
+    return _encoded(data, offsets, width)
+
+
+def _encoded(data: np.ndarray, offsets: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(offsets)
     each = np.maximum(1, -(-sizes // width))
     bounds = np.r_[0, np.cumsum(each)]
     total = int(bounds[-1])
@@ -70,23 +82,17 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             keyed = hashes ^ (word_at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             kept = np.unique(keyed, return_index=True)[1]
             out[:, 19] = np.bincount(word_at[kept], minlength=total) * per_word
-            keyed = hashes ^ (row.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        kept = np.unique(keyed, return_index=True)[1]
-        rows = len(sizes)
-        row_words = np.bincount(row, minlength=rows)
-        unique_share = np.bincount(row[kept], minlength=rows) / np.maximum(row_words, 1)
-        out[:, 20] = np.repeat(unique_share, each)
-        out[:, 21] = np.repeat(np.log1p(row_words) / 10, each)
         again = np.zeros(len(s))
         if len(s) > 1:
             again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-        out[:, 22] = np.bincount(word_at, again, total) * per_word
+        out[:, 20] = np.bincount(word_at, again, total) * per_word
         first, last = CLASS[data[s]], CLASS[data[e - 1]]
-        out[:, 23] = np.bincount(word_at, first == 0, total) * per_word
-        out[:, 24] = np.bincount(word_at, last > 6, total) * per_word
-        out[:, 25] = np.bincount(word_at, word_len <= 2, total) * per_word
-        out[:, 26] = np.bincount(word_at, word_len >= 12, total) * per_word
-        out[:, 27] = np.repeat(unique_share * np.log1p(row_words) / 5, each)
+        out[:, 21] = np.bincount(word_at, first == 0, total) * per_word
+        out[:, 22] = np.bincount(word_at, last > 6, total) * per_word
+        out[:, 23] = np.bincount(word_at, word_len <= 2, total) * per_word
+        out[:, 24] = np.bincount(word_at, word_len >= 12, total) * per_word
+        bag = np.bincount(word_at * WORD_BUCKETS + (hashes >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, minlength=total * WORD_BUCKETS)
+        out[:, _STATISTICS:] = np.sqrt(bag.reshape(total, WORD_BUCKETS) * per_word[:, None])
     return out, bounds
 
 
@@ -160,7 +166,7 @@ class Constant:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE):
     """Fit on at most `sample` labelled documents, those of the least hash of their id; none whose crc32(id) mod 5 is 0.
 
-    Of repeated labels of an id the least counts; null labels and ids are left out.
+    Of repeated labels of an id the least counts, and of repeated documents one; null labels and ids are left out.
     """
     key = F.col(id_col)
     marked = labels.filter(key.isNotNull() & F.col(label_col).isNotNull() & ~held_out_expr(key, 5, 0)).groupBy(key.alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
@@ -175,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     kind = dict(bags.dtypes)["doc_id"]
-    rows = bags.mapInArrow(run, f"doc_id {kind}, y int, x binary").orderBy("doc_id", "x").limit(2 * sample).collect()
+    # One row for each id, so that no more than the sample comes here.
+    rows = bags.mapInArrow(run, f"doc_id {kind}, y int, x binary").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
     y = np.array([r.y for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
@@ -213,7 +220,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with the columns of docs, whose score is at least THRESHOLD."""
+    """The rows of docs, with the columns of docs, whose score is at least THRESHOLD.
+
+    A null or empty text is judged as one empty passage; repeated rows are judged alike; without labels of both kinds all
+    have the same score; an empty table stays empty. Columns of any name pass through.
+    """
     scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, keep=True)
     return scored.filter(F.col("score") >= THRESHOLD).select("__row.*")
 

@@ -33,6 +33,26 @@ def test_passages_cover_whole_texts():
     assert np.allclose(alone, x[bounds[3] :])
 
 
+def test_a_long_row_is_encoded_by_passages():
+    text = np.frombuffer(b"some words of a long text. " * 400_000, np.uint8)
+    x, bounds = Q.passages(text, np.array([0, len(text)]))
+    assert bounds.tolist() == [0, 64] and np.allclose(x[:, :16].sum(axis=1), 1)
+
+
+def test_scores_against_a_plain_scorer():
+    """The vectorised score of a bag equals one written out passage by passage."""
+    rng = np.random.default_rng(2)
+    x, bounds = rng.normal(size=(12, Q.N_FEATURES)).astype(np.float32), np.array([0, 1, 5, 12])
+    model = Q.Attention.fit(x, bounds, np.array([0.0, 1.0, 0.0]), steps=5)
+    got, weight = model.predict(x, bounds)
+    for k in range(3):
+        h = [np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ model.params["W"] + model.params["b"]) for row in x[bounds[k] : bounds[k + 1]]]
+        raw = np.array([(np.tanh(v @ model.params["V"]) / (1 + np.exp(-(v @ model.params["U"])))) @ model.params["w"] for v in h])
+        a = np.exp(raw) / np.exp(raw).sum()
+        z = sum(w * v for w, v in zip(a, h))
+        assert np.isclose(got[k], 1 / (1 + np.exp(-(z @ model.params["c"] + model.params["d"][0])))) and np.isclose(weight[k], a.max())
+
+
 def test_held_out_accuracy_and_contract(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
