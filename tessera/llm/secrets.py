@@ -1,11 +1,13 @@
 """Secret scan with multipart credential linking, in DataFrame functions alone.
 
 Plain secrets (assignments, access identifiers, long hex runs) are spans of regular expressions. `split` gives the gaps
-between matches and `regexp_extract_all` the matches, so that running sums of their lengths are exact code point
-offsets. Weak parts (short access identifiers, bare high-variety strings, endpoints) say nothing alone: they are
-reported only if a complementary part lies within `scope` characters. That interval join runs on (row, bucket of scope
-characters): the complementary parts are first reduced to the least and the greatest offset of each bucket, and a weak
-part meets the buckets before, at and after its own, so no group of parts is ever paired with itself.
+between matches and `regexp_extract_all` the matches, so that running sums of their lengths, in blocks, are exact code
+point offsets. Weak parts (short access identifiers, bare high-variety strings, endpoints) say nothing alone: they are
+reported only if a complementary part lies within `scope` characters: an identifier needs a secret of any kind, a bare
+secret an identifier, and an endpoint an identifier or a secret that isn't merely a hex run. That interval join runs on
+(row, bucket of scope characters): the complementary parts are first reduced to the least and the greatest offset of each
+bucket, and a weak part meets the buckets before, at and after its own. Overlaps are found on the same buckets, so no
+text's parts are ever paired with all others. Each identifier is then tied to the nearest secret and endpoint.
 """
 
 from __future__ import annotations
@@ -25,20 +27,34 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 SCOPE = 400
 
 
+BLOCK = 256  # matches whose offsets are summed in one go
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """Array of (s, e) of the leftmost non-overlapping matches, in code points."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("out"), F.lit(0).alias("at"))
+    none = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(acc: Column, pair: Column) -> Column:
         s = acc["at"] + pair["g"]
         e = s + pair["m"]
         return F.struct(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"), e.alias("at"))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("g"), m.alias("m")))
-    folded = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    def folded(pairs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        part = lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK)
+        sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, p: acc + p["g"] + p["m"]))
+        starts = lambda s: F.transform(blocks, lambda b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda acc, x: acc + x))
+        spans = lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), F.struct(none.alias("out"), F.get(at, b).alias("at")), step, lambda acc: acc["out"])))
+        return F.when(F.size(pairs) > 0, _let(sums, lambda s: _let(starts(s), spans))).otherwise(none)
+
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    return _let(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m")), folded)
 
 
 def _kind(spans: Column, kind: int) -> Column:
@@ -63,17 +79,23 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
     return _kind(assign, 0), _kind(access, 1), _kind(_spans(text, HEX), 2)
 
 
+def _near(parts: DataFrame, scope: int) -> DataFrame:
+    """parts once for each of the buckets before, at and after its own, as `near`."""
+    return parts.withColumn("near", F.explode(F.array(*(F.floor(F.col("s") / scope) + d for d in (-1, 0, 1)))))
+
+
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(rid, s, k, e): the weak parts of (rid, s, k, e) that have a complementary part within scope characters.
 
-    An access identifier (strong or weak) needs a secret, a bare secret needs an identifier, and an endpoint needs
-    either. Distance is measured between starts.
+    An access identifier (strong or weak) needs a secret or a hex run, a bare secret needs an identifier, and an endpoint
+    needs an identifier or a secret. Distance is measured between starts.
     """
-    role = F.when(F.col("k").isin(1, 3), "id").when(F.col("k").isin(0, 2, 4), "secret").otherwise("endpoint")
+    role = F.when(F.col("k").isin(1, 3), "id").when(F.col("k").isin(0, 4), "secret").when(F.col("k") == 2, "digest").otherwise("endpoint")
     parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("s") / scope))
     ends = parts.filter("role <> 'endpoint'").groupBy("rid", "bucket", "role").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    weak = parts.filter(F.col("k") >= 3).withColumn("wants", F.explode(F.when(F.col("role") == "id", F.array(F.lit("secret"))).when(F.col("role") == "secret", F.array(F.lit("id"))).otherwise(F.array(F.lit("id"), F.lit("secret")))))
-    weak = weak.withColumn("near", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
+    said = lambda *roles: F.array(*map(F.lit, roles))
+    wants = F.when(F.col("role") == "id", said("secret", "digest")).when(F.col("role") == "secret", said("id")).otherwise(said("id", "secret"))
+    weak = _near(parts.filter(F.col("k") >= 3).withColumn("wants", F.explode(wants)), scope)
     met = weak.alias("w").join(
         ends.alias("c"),
         (F.col("w.rid") == F.col("c.rid")) & (F.col("near") == F.col("c.bucket")) & (F.col("wants") == F.col("c.role"))
@@ -82,8 +104,32 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.select("w.rid", "w.s", "w.k", "w.e").distinct()
 
 
+def without_overlaps(parts: DataFrame, over: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """The rows of parts (rid, s, k, e) that no row of over shares a character with: they meet on buckets of scope characters."""
+    spread = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor((F.col("e") - 1) / scope))))
+    p, o = spread(parts).alias("p"), spread(over).alias("o")
+    met = p.join(o, (F.col("p.rid") == F.col("o.rid")) & (F.col("p.bucket") == F.col("o.bucket")) & (F.col("p.s") < F.col("o.e")) & (F.col("o.s") < F.col("p.e")), "left_semi")
+    return parts.join(met.select("rid", "s", "k", "e").distinct(), ["rid", "s", "k", "e"], "left_anti")
+
+
+def tied(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(rid, s, k, e, secret, endpoint): each identifier with the nearest secret within scope, as (s, k, e), and the nearest endpoint, if any.
+
+    Of two at the same distance the earlier one is taken; a hex run counts as a secret.
+    """
+    ids = _near(parts.filter(F.col("k").isin(1, 3)), scope).alias("i")
+    rest = parts.filter(~F.col("k").isin(1, 3)).withColumn("bucket", F.floor(F.col("s") / scope)).alias("c")
+    far = F.abs(F.col("i.s") - F.col("c.s"))
+    met = ids.join(rest, (F.col("i.rid") == F.col("c.rid")) & (F.col("near") == F.col("c.bucket")) & (far <= scope))
+    part, order = F.struct("c.s", "c.k", "c.e"), F.struct(far.alias("far"), "c.s", "c.k")
+    best = lambda kind: F.min_by(F.when(kind, part), F.when(kind, order))
+    return met.groupBy("i.rid", "i.s", "i.k", "i.e").agg(best(F.col("c.k") != 5).alias("secret"), best(F.col("c.k") == 5).alias("endpoint")).filter("secret is not null")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row for each row of docs: n_assign, n_access, n_hex, base_sha256, spans, n_linked, parts (array of kind, s, e).
+    """One row for each row of docs: n_assign, n_access, n_hex, base_sha256, spans, n_linked, links, parts (array of kind, s, e).
+
+    links has each identifier with its secret and, if there is one, its endpoint: kind:start:end joined by a plus sign.
 
     A null text is empty; repeated rows and null ids are kept; an empty table gives an empty result; extra columns are
     ignored. Weak parts that overlap a plain span are dropped. Base spans never depend on the linking.
@@ -102,17 +148,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         F.when(F.col("weak_any"), F.concat(weak_id, endpoint, varied)).otherwise(_none()).alias("weak"),
     ).withColumn("rid", F.monotonically_increasing_id())
     rows = materialize(rows, "secrets")
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    one_kind = F.filter(clear, lambda w: (w["k"] != 4) | ~F.exists(clear, lambda o: (o["k"] != 4) & (o["s"] < w["e"]) & (w["s"] < o["e"])))
-    parts = rows.filter(F.size("weak") > 0).select("rid", F.explode(F.concat(F.col("base"), one_kind)).alias("p")).select("rid", "p.*")
-    linked = linked_parts(parts, scope).groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
-    rows = rows.join(linked, "rid", "left").withColumn("linked", F.coalesce("linked", _none()))
+    each = lambda column: rows.filter(F.size("weak") > 0).select("rid", F.explode(column).alias("p")).select("rid", "p.*")
+    base = each("base")
+    weak = materialize(without_overlaps(each("weak"), base, scope), "weak")
+    clear = weak.filter("k <> 4").unionByName(without_overlaps(weak.filter("k = 4"), weak.filter("k <> 4"), scope))
+    parts = materialize(base.unionByName(clear), "parts")
+    linked = linked_parts(parts, scope)
+    known = parts.filter("k = 1").unionByName(linked.filter("k = 3")).unionByName(parts.filter("k in (0, 2)")).unionByName(linked.filter("k > 3"))
+    said = lambda c: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), F.col(c)["k"]), F.col(c)["s"].cast("string"), F.col(c)["e"].cast("string"))
+    ties = tied(known, scope).withColumn("id", F.struct("s", "k", "e"))
+    ties = ties.select("rid", "s", F.concat_ws("+", said("id"), said("secret"), F.when(F.col("endpoint").isNotNull(), said("endpoint"))).alias("link"))
+    ties = ties.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "link"))), lambda x: x["link"]), ",").alias("links"))
+    linked = linked.groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
+    rows = rows.join(linked, "rid", "left").join(ties, "rid", "left").withColumn("linked", F.coalesce("linked", _none()))
     rows = rows.withColumn("parts", F.array_sort(F.concat("base", "linked")))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("parts")).alias("spans"),
-        F.size("linked").cast("long").alias("n_linked"), "parts",
+        F.size("linked").cast("long").alias("n_linked"), F.coalesce("links", F.lit("")).alias("links"), "parts",
     )
 
 
