@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, id_text, load, materialize, pack_rows, text_buffers
@@ -82,7 +82,7 @@ def chain_ok(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def link_groups(group: np.ndarray, start: np.ndarray, fps: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fp, fp) of the true pairs in consecutive equal groups; side: compare only different sides."""
+    """Spanning links (fp, fp) of the true pairs in consecutive equal groups; side: only rows of different sides are compared."""
     n = len(fps)
     first = np.r_[True, group[1:] != group[:-1]]
     ends = np.r_[np.flatnonzero(first)[1:], n]
@@ -116,8 +116,11 @@ def link_groups(group: np.ndarray, start: np.ndarray, fps: np.ndarray, side: np.
     return fps[linked], fps[label[linked]]
 
 
-def _links_of(batches: Iterator[pa.RecordBatch], keys: list[str], sided: bool) -> Iterator[pa.RecordBatch]:
-    """Reads rows in group order, so that a group is whole once the next one begins."""
+def _links_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Reads rows in group order, so that a group is whole once the next one begins.
+
+    Keys (key, lo, hi): a pair of blocks, each row of the block `mine`; rows of one block meet in (key, block, block) alone.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     kept: list[pa.Table] = []
 
@@ -127,7 +130,7 @@ def _links_of(batches: Iterator[pa.RecordBatch], keys: list[str], sided: bool) -
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         fps = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        side = table.column("side").to_numpy() if sided else None
+        side = np.where(cols[1] == cols[2], np.arange(table.num_rows), table.column("mine").to_numpy()) if len(cols) > 1 else None
         a, b = link_groups(np.cumsum(change), cols[0] >> 29, fps, side)
         return pack_rows(schema, a.view(np.int64), b.view(np.int64))
 
@@ -159,17 +162,17 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ring_keys(x.view(np.uint64)).ravel()), pa.array(np.repeat(x, 16))], ["key", "fp"])
 
     keyed = fps.select("fp").mapInArrow(keys, "key long, fp long")
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    sized = materialize(sized, "ring")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = materialize(keyed.join(sizes, "key"), "ring")
     small = sized.filter(F.col("n") <= block).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    small = small.mapInArrow(lambda it: _links_of(it, ["key"], False), "a long, b long")
+    small = small.mapInArrow(lambda it: _links_of(it, ["key"]), "a long, b long")
     # A group over the block size: blocks by a hash of the fingerprint, each pair of blocks a group of its own.
     big = sized.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") * 2 / block))
     big = big.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    big = big.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", F.lit(0).alias("side"))
+    big = big.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "mine")
     big = big.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    big = big.mapInArrow(lambda it: _links_of(it, ["key", "lo", "hi"], False), "a long, b long")
+    big = big.mapInArrow(lambda it: _links_of(it, ["key", "lo", "hi"]), "a long, b long")
     return small.union(big)
 
 
@@ -188,14 +191,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """docs, with its columns, with one row of each group of near-duplicates: that of the smallest id.
 
-    Null ids come last; of rows equal in id and text one stays.
+    Shingles have five words here. Null ids come last; of rows equal in id and text one stays; null and blank texts are
+    near-duplicates of each other; an empty table stays empty. Columns of any name pass through.
     """
     rkey = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), rkey.alias("rkey"))
-    groups = near_duplicates(docs.select(order.alias("__order"), F.col(text_col).alias("__text")), "__order", "__text")
+    groups = near_duplicates(docs.select(order.alias("__order"), F.col(text_col).alias("__text")), "__order", "__text", words)
     kept = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id.rkey").alias("__rkey")).agg(F.count("*").alias("n")), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), rkey.alias("__rkey")).join(kept.select("__rkey"), "__rkey", "left_semi")
     if not kept.filter("n > 1").isEmpty():

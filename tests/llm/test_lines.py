@@ -1,3 +1,4 @@
+import functools
 import random
 
 import numpy as np
@@ -31,16 +32,26 @@ def test_wide_distance(a, b, most):
     assert L.edits_within(a.encode(), b.encode(), most) == (levenshtein(a, b) <= most)
 
 
-def most_edits(line):
-    """Word edits that a line allows."""
+@functools.cache
+def _cut(line):
     data = np.frombuffer(line, np.uint8)
     _, keys, count, _, _ = L.segments(Hasher(data), np.array([0]), np.array([len(line)]), *L.line_words(data, np.array([0, len(line)])))
-    return int(L.word_edits(np.array([len(set(keys.tolist()))]), count)[0]) if len(line) >= L.LONG else 0
+    return len(set(keys.tolist())), count
+
+
+def segments_of(line):
+    return _cut(line)[0]
+
+
+def most_edits(line):
+    """Word edits that a line allows."""
+    return int(L.word_edits(np.array([segments_of(line)]), _cut(line)[1])[0]) if len(line) >= L.LONG else 0
 
 
 def near(a, b):
     """By words, for lines of this test, which are all long."""
-    return levenshtein(L.split_words(a), L.split_words(b)) <= min(most_edits(a), most_edits(b))
+    t, x, y = min(most_edits(a), most_edits(b)), L.split_words(a), L.split_words(b)
+    return 0 < t >= abs(len(x) - len(y)) and len(set(x) - set(y)) <= t and levenshtein(x, y) <= t
 
 
 @settings(max_examples=300, deadline=None)
@@ -124,7 +135,8 @@ def brute(rows, tau=2, least=20):
 
     for i, a in enumerate(known):
         for b in known[:i]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= tau and levenshtein(a, b) <= tau:
+            few = all(len(x) < L.LONG or segments_of(x) < L.MIXED for x in (a, b))
+            if few and min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= tau and levenshtein(a, b) <= tau or min(len(a), len(b)) >= L.LONG and abs(len(a) - len(b)) < len(a) and near(a, b):
                 root[find(a)] = find(b)
     first = {}
     for doc, no, line in texts:

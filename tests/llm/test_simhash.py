@@ -4,11 +4,11 @@ import xxhash
 from tessera.llm import simhash as S
 
 
-def brute_fp(text):
+def brute_fp(text, n=3):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    parts = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    parts = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
     h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -70,3 +70,10 @@ def test_empty_and_repeated(spark):
     assert S.near_duplicates(empty).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert [r.component_id for r in S.near_duplicates(twice).collect()] == [1, 1, 1]
+
+
+def test_long_texts(spark):
+    text = "some words that come again and again in a long text " * 100_000
+    df = spark.createDataFrame([(1, text), (2, text + "end"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in S.near_duplicates(df).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[3].component_id == 3 and got[1].fingerprint == f"{brute_fp(text):016x}"
