@@ -50,6 +50,7 @@ CUT = 3  # words in a segment of a longer line, on average
 STRETCH = 25  # words for each word edit
 MOST_WORDS = 31  # edited words of the longest lines
 MIXED = 7  # lines of fewer segments are cut evenly too
+LINES = 60_000  # lines for each bucket of keys
 BLOCK = 512  # lines compared at once; groups of up to a 32nd list their pairs
 PIVOTS = 16
 BINS = 24
@@ -320,7 +321,23 @@ def near_equal(a: bytes, b: bytes, tau: int, t: int) -> bool:
     return len(p - q) <= t and len(q - p) <= t and edits_within(x, y, t)
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_bits(lines: pa.Array) -> np.ndarray:
+    """A set of 1024 bits for the words of each line, [lines, 16]."""
+    data, at = text_buffers(lines)
+    data, at = data[at[0] : at[-1]], at - at[0]
+    s, e = line_words(data, at)
+    slot = (Hasher(data)(s, e) >> np.uint64(20) & np.uint64(1023)).astype(np.int64)
+    out = np.zeros((len(at) - 1, 16), np.uint64)
+    np.bitwise_or.at(out, (np.searchsorted(at, s, "right") - 1, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
+    return out
+
+
+def words_allow(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether the words of two lines allow t edits: each takes away one word at most, and brings in one."""
+    return (np.bitwise_count(a & ~b).sum(axis=1) <= t) & (np.bitwise_count(b & ~a).sum(axis=1) <= t)
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """(rkey, doc_id, no, id, counts) of every line that isn't blank; rkey names the row by its id and text.
 
     Two more kinds of rows: no = ROW, one for each row of docs, with its number of lines as id; no = SLOT, a task's counts
@@ -341,6 +358,9 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids = hasher(s, e)
                 yield pa.RecordBatch.from_arrays([batch.column("rkey").take(take), batch.column("doc_id").take(take), pa.array(number.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(len(ids), pa.binary())], names)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in ("rkey", "doc_id")] + [pa.array(np.full(hi - lo, ROW, np.int32)), pa.array(np.bincount(row, minlength=hi - lo)), pa.nulls(hi - lo, pa.binary())], names)
+                few = e - s < 4 * LONG
+                for _, keys, role in line_keys(hasher, s[few], e[few], tau):  # of lines that may be cut evenly
+                    total += np.bincount(slot_of(keys), minlength=SLOTS) if role & INDEX else 0
                 s, e = s[e - s >= LONG], e[e - s >= LONG]
                 total += np.bincount(slot_of(segments(hasher, s, e, *line_words(data, at))[1]), minlength=SLOTS)
         if batch is not None:
@@ -378,17 +398,35 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("rkey"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
-def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, tau: int, least: int) -> DataFrame:
-    """(key, id, sketch): the low four bits of the sketch hold the role; copies within a slice are one, and so are nearly all within a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+FILED = 1 << 20  # rows that a filing task holds before it passes them on
 
-    def rows(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, ids, sketch)], ["key", "id", "sketch"])
+
+def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int, hot: int, tau: int, least: int) -> DataFrame:
+    """(bucket, payload): keys, ids and sketches of lines by buckets of keys, eight bytes each, one list after the other.
+
+    The low four bits of a sketch hold the role. Copies within a slice are one, and so are nearly all within a task. Rows
+    whose key has a level of `hot` or more go to buckets from `buckets` on, by their id, so that no bucket holds them all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         filed = np.zeros(1 << SEEN_BITS, np.uint64)  # the last line of each slot, so that a hot line is filed about once a task
         filed[0] = 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            key, ids, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            often = levels[slot_of(key)] >= hot
+            bucket[often] = buckets + (mix(ids[often]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 15 else bucket, kind="stable")
+            rows = np.stack([key[order], ids[order], sketch[order]])
+            first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+            parts = [rows[:, i:j].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(parts, pa.binary())], ["bucket", "payload"])
+
         for batch in batches:
             for _, _, data, at in slices(*text_buffers(batch.column(0))):
                 s, e, _, _ = line_bounds(data, at)
@@ -403,18 +441,24 @@ def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, tau: int, least:
                 s, e = s[first], e[first]
                 ids = hasher(s, e)
                 line, keys, sketch, parts = far_keys(hasher, s, e, *line_words(data, at), levels)
-                yield rows(keys, ids[line], sketch[line])
+                fresh_rows = [(keys, ids[line], sketch[line])]
                 short = (parts < MIXED) | (e - s < LONG)
                 s, e, ids = s[short], e[short], ids[short]
                 sketch = sketches(data, s, e)
-                for which, keys, role in line_keys(hasher, s, e, tau):
-                    yield rows(keys, ids[which], sketch[which] | np.uint64(role))
+                fresh_rows += [(keys, ids[which], sketch[which] | np.uint64(role)) for which, keys, role in line_keys(hasher, s, e, tau)]
+                held += fresh_rows
+                n += sum(len(x[0]) for x in fresh_rows)
+                if n >= FILED:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "key long, id long, sketch long")
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "bucket long, payload binary")
 
 
-def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, cuts: list | None = None) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole groups; a group of over 4 * `rows` rows comes in pieces, and cuts gets its key first."""
+def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups, of `rows` rows or more."""
     kept: list[pa.Table] = []
     held = 0
     for batch in batches:
@@ -433,11 +477,6 @@ def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, cuts:
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield table.slice(0, cut)
-        elif held >= 4 * rows:
-            if cuts is not None:
-                cuts[:] = [tuple(table.column(k)[0].as_py() for k in keys)]
-            yield table
-            cut = held
         kept, held = [table.slice(cut)], held - cut
     if held:
         yield pa.concat_tables(kept)
@@ -449,48 +488,56 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.r_[first[1:], len(keys)]
 
 
-def _members(batches: Iterator[pa.RecordBatch], tau: int, block: int = BLOCK, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """The pairs (id, id, 16 * t) of small groups whose sketches allow near-equal lines, and the rows of larger groups.
+def _members(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, tau: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the rows of whole groups: the pairs (id, id, 16 * t) of small groups whose sketches allow near-equal lines, and the rows of larger groups.
 
     A larger group is named by the set of its lines, so that the same group of another key is no other one. Of a group of
-    up to `block` lines only members of pairs stay; of one that comes in pieces all rows do, under the key.
+    up to `block` lines only members of pairs stay.
     """
-    cuts: list[tuple[int]] = []
-    for table in _tables(batches, ["key"], rows, cuts):
-        key, ids, sketch = (table.column(k).to_numpy() for k in ("key", "id", "sketch"))
-        sketch = sketch.view(np.uint64)
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        sketch = np.bitwise_or.reduceat(sketch, first)
-        key, ids = key[first], ids[first]
-        g, end = _groups(key)
-        size = end - g
-        last = np.repeat(end, size)
-        whole = key != cuts[0][0] if cuts else np.ones(len(key), bool)
-        good = np.repeat(size > block, size) | ~whole
-        listed = np.repeat(size <= block // 32, size) & whole
-        at, shift = np.flatnonzero(np.repeat((size > 1) & (size <= block), size) & whole), 1
-        while True:
-            at = at[at + shift < last[at]]
-            if not len(at):
-                break
-            a, b = sketch[at], sketch[at + shift]
-            met = ((a & np.uint64(INDEX)) & ((b >> np.uint64(1)) & np.uint64(1))) | ((b & np.uint64(INDEX)) & ((a >> np.uint64(1)) & np.uint64(1)))
-            hit = at[((met > 0) | ((a & b & np.uint64(FAR)) > 0)) & may_be_near(a, b, tau)]
-            pair = hit[listed[hit]]
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[pair], ids[pair + shift])), pa.array(np.maximum(ids[pair], ids[pair + shift])), pa.array(np.where(sketch[pair] & np.uint64(FAR), edits_of(sketch[pair], sketch[pair + shift]), 0) * 16)], ["key", "id", "sketch"])
-            hit = hit[~listed[hit]]
-            good[hit] = good[hit + shift] = True
-            shift += 1
-        good = np.flatnonzero(good)
-        if not len(good):
-            continue
-        key, ids, sketch, whole = key[good], ids[good], sketch[good], whole[good]
+    order = np.lexsort((ids, key))
+    key, ids, sketch = key[order], ids[order], sketch[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+    sketch = np.bitwise_or.reduceat(sketch, first)
+    key, ids = key[first], ids[first]
+    g, end = _groups(key)
+    size = end - g
+    last = np.repeat(end, size)
+    good = np.repeat(size > block, size)
+    listed = np.repeat(size <= block // 32, size)
+    at, shift = np.flatnonzero(np.repeat((size > 1) & (size <= block), size)), 1
+    while True:
+        at = at[at + shift < last[at]]
+        if not len(at):
+            break
+        a, b = sketch[at], sketch[at + shift]
+        met = ((a & np.uint64(INDEX)) & ((b >> np.uint64(1)) & np.uint64(1))) | ((b & np.uint64(INDEX)) & ((a >> np.uint64(1)) & np.uint64(1)))
+        hit = at[((met > 0) | ((a & b & np.uint64(FAR)) > 0)) & may_be_near(a, b, tau)]
+        pair = hit[listed[hit]]
+        if len(pair):
+            x, y = ids[pair].view(np.int64), ids[pair + shift].view(np.int64)
+            t = np.where(sketch[pair] & np.uint64(FAR), edits_of(sketch[pair], sketch[pair + shift]), 0) * 16
+            yield np.minimum(x, y), np.maximum(x, y), t
+        hit = hit[~listed[hit]]
+        good[hit] = good[hit + shift] = True
+        shift += 1
+    good = np.flatnonzero(good)
+    if len(good):
+        key, ids, sketch = key[good], ids[good], sketch[good]
         g, end = _groups(key)
         with np.errstate(over="ignore"):
-            name = np.add.reduceat(mix(ids.view(np.uint64)), g)
-        name = np.where(whole, np.repeat(name, end - g).view(np.int64), key)
-        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids), pa.array(sketch.view(np.int64))], ["key", "id", "sketch"])
+            name = np.repeat(np.add.reduceat(mix(ids), g), end - g)
+        yield name.view(np.int64), ids.view(np.int64), sketch.view(np.int64)
+
+
+def _met(table: pa.Table, buckets: int, tau: int, block: int) -> pa.Table:
+    """The members of a bucket; all rows of a bucket of hot keys, under their keys."""
+    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in table.column("payload").to_pylist()], axis=1)
+    if table.column("bucket")[0].as_py() >= buckets:
+        out = [tuple(x.view(np.int64) for x in np.unique(rows, axis=1))]
+    else:
+        out = list(_members(*rows, tau, block))
+    none = np.empty(0, np.int64)
+    return pa.table([pa.array(np.concatenate([none, *(x[k] for x in out)])) for k in range(3)], names=["key", "id", "sketch"])
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
@@ -566,23 +613,26 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int, cross: bool) -> Itera
         if not pairs:
             continue
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        edits = np.where(sketch[i] & sketch[j] & np.uint64(FAR), edits_of(sketch[i], sketch[j]), 0)
+        bits = word_bits(table.column("line").combine_chunks())
+        ok = np.concatenate([(edits[k : k + 50_000] == 0) | words_allow(bits[i[k : k + 50_000]], bits[j[k : k + 50_000]], edits[k : k + 50_000]) for k in range(0, len(i), 50_000)] or [edits > 0])
+        i, j, edits = i[ok], j[ok], edits[ok]
         lines = table.column("line").to_pylist()
         links: list[tuple[int, int]] = []
         while True:
             open_ = (label[i] != label[j]) & (ids[i] != ids[j])
-            i, j = i[open_], j[open_]
+            i, j, edits = i[open_], j[open_], edits[open_]
             if not len(i):
                 break
             first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
             x, y = i[first], j[first]
-            edits = np.where(sketch[x] & sketch[y] & np.uint64(FAR), edits_of(sketch[x], sketch[y]), 0).tolist()
-            for p, q, most in zip(x.tolist(), y.tolist(), edits, strict=True):
+            for p, q, most in zip(x.tolist(), y.tolist(), edits[first].tolist(), strict=True):
                 if label[p] != label[q] and near_equal(lines[p], lines[q], tau, most):
                     links.append((ids[p], ids[q]))
                     label[label == label[q]] = label[p]
             rest = np.ones(len(i), bool)
             rest[first] = False
-            i, j = i[rest], j[rest]
+            i, j, edits = i[rest], j[rest], edits[rest]
         if links:
             left, right = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -591,14 +641,19 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int, cross: bool) -> Itera
 def _compared(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, t, text of a, text of b) that are near-equal."""
     for batch in batches:
-        good = pa.array([near_equal(x, y, tau, t) for t, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)], pa.bool_())
+        t = batch.column(2).to_numpy()
+        maybe = (t == 0) | words_allow(word_bits(batch.column(3)), word_bits(batch.column(4)), t)
+        good = pa.array([ok and near_equal(x, y, tau, n) for ok, n, x, y in zip(maybe.tolist(), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], ["a", "b"])
 
 
-def near_lines(docs: DataFrame, levels: np.ndarray, text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between ids of different near-equal lines, enough to join all that is reachable."""
-    filed = _filed(docs, text_col, levels, tau, least)
-    found = materialize(filed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: _members(it, tau, block), "key long, id long, sketch long"), "members")
+def near_lines(docs: DataFrame, levels: np.ndarray, lines: int, text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between ids of different near-equal lines, enough to join all that is reachable. lines: about how many there are."""
+    buckets = max(64, lines // LINES)
+    # A key far over the others, or over many blocks; levels are 4 * log2.
+    hot = int(4 * np.log2(max(32 * block, 8 * 2 ** (levels / 4.0).mean()) + 1))
+    filed = _filed(docs, text_col, levels, buckets, hot, tau, least)
+    found = materialize(filed.groupBy("bucket").applyInArrow(lambda x: _met(x, buckets, tau, block), "key long, id long, sketch long"), "members")
     # Two lines may meet under a key of bytes and under one of words: then either will do.
     pairs = materialize(found.filter("sketch & 15 = 0").select(F.col("key").alias("a"), F.col("id").alias("b"), (F.col("sketch") / 16).cast("int").alias("t")).distinct(), "pairs")
     members = materialize(found.filter("sketch & 15 <> 0").groupBy("key", "id").agg(F.bit_or("sketch").alias("sketch")), "members")
@@ -623,6 +678,8 @@ def near_lines(docs: DataFrame, levels: np.ndarray, text_col: str = "text", tau:
     first = placed.select(*columns).union(pivots.select("key", "id", "sketch", "to"))
     links = materialize(links.union(verified(first.withColumn("part", F.lit(0).cast("long")).withColumn("root", F.col("id")).withColumn("guest", F.lit(False)), False)).distinct(), "links")
     if large.isEmpty():
+        for done in (pairs, members, wanted, texts):
+            discard(done)
         return links
     roots = materialize(components(links), "roots")
     named = materialize(large.join(roots, large.id == roots.node, "left").select(*columns, "blocks", F.coalesce("root", "id").alias("root")), "named")
@@ -633,7 +690,10 @@ def near_lines(docs: DataFrame, levels: np.ndarray, text_col: str = "text", tau:
     home = apart.select(*columns, every("parts").alias("part"), "root", no)
     guests = apart.filter("root <> top").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")))
     guests = guests.select("key", "id", "sketch", every("blocks").alias("block"), "part", "root", F.lit(True).alias("guest"))
-    return links.union(verified(home.union(guests), True)).distinct()
+    out = materialize(links.union(verified(home.union(guests), True)).distinct(), "links")
+    for done in (pairs, members, wanted, texts, links, roots, named):
+        discard(done)
+    return out
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -641,8 +701,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     near tells a line whose own text first occurs here, dropped for a near-equal one, from an exact copy.
     """
-    found = materialize(occurrences(docs, id_col, text_col), "lines")
-    roots = materialize(components(near_lines(docs, levels_of(found), text_col, tau, least, block)), "roots")
+    found = materialize(occurrences(docs, id_col, text_col, tau), "lines")
+    links = near_lines(docs, levels_of(found), found.count(), text_col, tau, least, block)
+    roots = materialize(components(links), "roots")
+    discard(links)
     place = F.struct("doc_id", "rkey", "no")
     named = found.filter("no >= 0").join(roots, F.col("id") == F.col("node"), "left").select("rkey", "doc_id", "no", "id", F.coalesce("root", "id").alias("root"))
     # Most lines are alone in their class; they go once the classes are counted.
@@ -650,6 +712,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = materialize(kept, "kept")  # else the join would take place where a class is counted, which can't be split
     drop = named.join(kept.select("root", "kept", (F.col("lo") != F.col("hi")).alias("several")), "root").filter(place != F.col("kept"))
     drop = materialize(drop.select("rkey", "doc_id", "no", "id", "kept", "several"), "drop")
+    discard(roots)
+    discard(kept)
     first = drop.filter("several").groupBy("id").agg(F.min(place).alias("first"), F.min("kept").alias("kept")).filter("first > kept")
     # The kept line's own text has its first place there; its further copies are exact ones.
     origin = drop.filter("several").select("kept").distinct().join(found.filter("no >= 0").select("id", place.alias("kept")), "kept").select(F.col("id").alias("origin"))

@@ -2,7 +2,6 @@ import functools
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,18 +211,9 @@ def test_longer_lines_may_differ_in_words(spark):
     assert [r.n_near for r in L.report(df).orderBy("doc_id").collect()] == [0, 1]
 
 
-def test_a_key_in_pieces_keeps_all_its_lines():
-    ids = np.repeat([1, 2, 3], [240_000, 240_000, 7])
-    key = np.r_[np.full(len(ids), 7), 8]
-    ids = np.r_[ids, 4]
-    sketch = np.full(len(ids), L.INDEX | L.PROBE)
-    batches = pa.table({"key": key, "id": ids, "sketch": sketch}).to_batches(max_chunksize=10_000)
-    got = pa.Table.from_batches(list(L._members(iter(batches), 2)))
-    assert {(k, i) for k, i in zip(got["key"].to_pylist(), got["id"].to_pylist())} == {(7, 1), (7, 2), (7, 3)}
-
-
-def test_a_family_over_many_blocks(spark):
-    """A hot family in blocks of 8: one chain that pivots can't see whole, and lines apart that only share its words."""
+@pytest.mark.parametrize("block", [8, 2])
+def test_a_family_over_many_blocks(spark, block):
+    """A hot family in small blocks, with keys over the hot level in the smallest ones: one chain that pivots can't see whole, and lines apart that only share its words."""
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(500)]
     stem = rng.choices(words, k=30)
@@ -236,7 +226,7 @@ def test_a_family_over_many_blocks(spark):
         rows.append(" ".join(stem[:8] + rng.sample(words[200:], 25)))
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "doc_id long, text string")
-    got = {r.doc_id for r in L.report(df, block=8).collect() if r.n_near}
+    got = {r.doc_id for r in L.report(df, block=block).collect() if r.n_near}
     label = list(range(len(rows)))
     for i, a in enumerate(rows):
         for j in range(i):
