@@ -35,7 +35,7 @@ SPACE = "▁"
 HOT = 30_000
 MOST_BYTES = 64  # of a unit that all executors hold
 FLUSH = 400_000  # units that a counting task holds before it passes them on
-KNOWN = 400_000  # units that an encoding task remembers
+KNOWN = 300_000  # units that an encoding task remembers
 AT_ONCE = 1 << 18  # bytes of units whose lattice is held at once
 LONG = 64  # symbols that merge by a heap
 CUT_EVERY, CUT_WITHIN = 1 << 16, 1 << 12  # longer units are cut at a crossing-free place of such a window, if there is one
