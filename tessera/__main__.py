@@ -37,7 +37,7 @@ def main(args: list[str] | None = None) -> None:
         paths = {}
         for name, (pairs, column) in names.items():
             paths[name] = os.path.join(asked.out, name.removesuffix(".tsv"))
-            IO.write_lists(IO.id_lists(queries, pairs, column), paths[name])
+            IO.write_lists(IO.id_lists(queries, pairs, column), paths[name], queries)
         IO.bundle(paths, os.path.join(asked.out, "results.zip"))
         return
     truth, universe = IO.read_links(spark, os.path.join(asked.folder, "train_ground_truth.tsv"))

@@ -273,6 +273,23 @@ select q.entity_id s1_id, q.country, coalesce(n, 0)::int candidates_count, coale
 from e q left join cc c on c.s1_id = q.entity_id left join e t on t.entity_id = c.target_id where q.source = 1"""
 
 
+def written_sql() -> str:
+    return f"with {PARTS}, {_found(V3, 30)} select s1_id, target_id, row_number() over (order by first, s1_idx, f.source, rank) place from f join e on e.entity_id = s1_id join (select country, min(doc_idx) first from e where source = 1 group by 1) using (country)"
+
+
+def upload_sql(limit: int) -> str:
+    return f"with {PARTS}, l as (select *, row_number() over (order by doc_idx) place from e) select case when place % 7 = 0 then 'Q_' || place else entity_id end entity_id, business_name, business_address, case when place % 5 = 0 then '' else country end country, place doc_idx from l where place <= {limit}"
+
+
+def stored_batch_sql() -> str:
+    return f"""with {PARTS_BY_TYPE}, w as (select *, {simple('business_name')} n, {simple('business_address')} m from e), x as (select *, {phonetic("n || ' ' || m")} v, regexp_replace(n, '[^a-z0-9]', '', 'g') c from w),
+base as (select * from x where source > 1 qualify row_number() over (partition by country order by source, doc_idx) <= 50),
+s as (select q.entity_id s1_id, b.entity_id target_id, b.source, b.doc_idx, q.v a, b.v b, q.c ac, b.c bc from x q join base b using (country) where q.source = 1), {_token_sets('s', 'a', 'b')},
+r as (select s1_id, target_id, source, doc_idx, round(case when {contains_either('ac', 'bc')} then greatest(tsr, 85.0) else tsr end, 6) sim from ts),
+l as (select s1_id, array_to_string(list(target_id order by source, doc_idx)[:10], ',') c, array_to_string((list(target_id order by source, doc_idx) filter (sim >= 74))[:5], ',') m from r group by 1)
+select entity_id source1_entity_id, coalesce(c, '') candidate_entity_ids, coalesce(m, '') matched_entity_ids from e left join l on l.s1_id = e.entity_id where source = 1"""
+
+
 def stored_sql(keep: int) -> str:
     return f"""with {PARTS_BY_TYPE}, w as (select *, {simple('business_name')} n, {simple('business_address')} m from e), x as (select *, {phonetic("n || ' ' || m")} v, regexp_replace(n, '[^a-z0-9]', '', 'g') c from w),
 base as (select * from x where source > 1 qualify row_number() over (partition by country, source order by doc_idx) <= {keep}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.constants import BASELINE_THRESHOLD, MATCH_THRESHOLD
@@ -90,6 +90,22 @@ def resolve_batch(queries: DataFrame, targets: DataFrame, threshold: float | Non
     return link(queries, targets, B.SERVICE_BATCH, threshold or MATCH_THRESHOLD, owner=False)
 
 
+def stored_batch(queries: DataFrame, base: DataFrame, threshold: float = MATCH_THRESHOLD, first: int = 50, most: int = 10, best: int = 5) -> DataFrame:
+    """(source1_entity_id, candidate_entity_ids, matched_entity_ids): the small service's batch call, over a stored base.
+
+    Of each country's first rows of the base, in its order, the first `most` are named as candidates and the first `best`
+    of those that reach the threshold as matches.
+    """
+    place = F.row_number().over(Window.partitionBy("country").orderBy("source", "doc_idx"))
+    base = base.withColumn("place", place).filter(F.col("place") <= first).drop("place")
+    pairs = M.stored_base(queries, base)
+    lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("source", "doc_idx", "target_id", "sim"))).alias("l"))
+    ids = lambda rows, n: F.coalesce(F.array_join(F.slice(F.transform(rows, lambda x: x["target_id"]), 1, n), ","), F.lit(""))
+    rows = queries.select(F.col("entity_id").alias("s1_id")).join(lists, "s1_id", "left")
+    hits = F.filter("l", lambda x: x["sim"] >= threshold)
+    return rows.select(F.col("s1_id").alias("source1_entity_id"), ids(F.col("l"), most).alias("candidate_entity_ids"), ids(hits, best).alias("matched_entity_ids"))
+
+
 def batch_counts(queries: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: processed, matched, singletons."""
     hit = matches.select("s1_id", F.lit(1).alias("hit")).distinct()

@@ -15,6 +15,7 @@ from tessera.operators import evaluate as E
 from tessera.operators import features as X
 from tessera.operators import learn as L
 from tessera.operators import match as M
+from tessera.operators.staging import fresh_folder
 from tessera.plans import linkage as P
 from tessera.sources import tables as IO
 from tessera.fixtures import doc_entities, doc_truth, part_entities, part_truth, sides
@@ -263,6 +264,44 @@ def _stored_base(spark: SparkSession, d: str) -> DataFrame:
     return M.stored_base(queries, base).select("s1_id", "target_id", "sim")
 
 
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate lists written as a file and read back, with the place of each link in it."""
+    queries, targets = sides(part_entities(spark, d))
+    path = f"{fresh_folder(spark)}/candidate_pairs"
+    IO.write_lists(IO.id_lists(queries, B.candidates(queries, targets), "candidate_entity_ids"), path, queries)
+    rows = IO.read_lists(spark, path, "candidate_entity_ids").select(F.col("source1_entity_id").alias("s1_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(T.id_list(F.col("candidate_entity_ids"))).alias("at", "target_id"))
+    # The file's rows are numbered in one task, as a person would read it; the numbers stand for its order.
+    return rows.select("s1_id", "target_id", F.row_number().over(Window.orderBy("row", "at")).cast("long").alias("place"))
+
+
+def _entity_files(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of two sources written as tab-separated files and read back, one of them by country."""
+    e, top = part_entities(spark, d), fresh_folder(spark)
+    for source in (2, 3):
+        IO.write_entities(e.filter(F.col("source") == source).select("entity_id", "business_name", "business_address", "country"), f"{top}/{source}")
+    known = e.filter("doc_idx % 2 = 0").select("entity_id")
+    rows = IO.read_entities(spark, f"{top}/2", 2, ids=known).unionByName(IO.read_entities(spark, f"{top}/3", 3, country="Brand#3"))
+    return rows.select("entity_id", "source", "country", "business_name", "business_address")
+
+
+def _base_files(spark: SparkSession, d: str) -> DataFrame:
+    """The stored base written as JSON by country and read back."""
+    path = f"{fresh_folder(spark)}/base"
+    IO.write_base(sides(part_entities(spark, d))[1], path)
+    return IO.read_base(spark, path).select("country", "source", "entity_id", "business_name", "business_address")
+
+
+def _uploaded(spark: SparkSession, d: str) -> DataFrame:
+    """An upload's lines by position, some without an id or a country."""
+    e = part_entities(spark, d).withColumn("place", F.row_number().over(Window.orderBy("doc_idx")).cast("long"))
+    value = F.concat_ws("\t", F.when(F.col("place") % 7 == 0, F.lit("")).otherwise(F.col("entity_id")), "business_name", "business_address", F.when(F.col("place") % 5 != 0, F.col("country")))
+    return IO.read_upload(e.select(value.alias("value"), F.col("place").alias("doc_idx")))
+
+
+def _stored_batch(spark: SparkSession, d: str) -> DataFrame:
+    return P.stored_batch(*sides(part_entities(spark, d, "p_type")))
+
+
 def _shared(spark: SparkSession, d: str) -> DataFrame:
     e = doc_entities(spark, d).filter("source = 1")
     split = L.holdout_splits(e, {"en": (60, 50), "de": (20, 10)})
@@ -352,6 +391,11 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "train_classifier": (_gbdt, None),
     "resolve": (_resolve, Q.resolve_sql()),
     "resolve_batch": (_resolve_batch, Q.batch_sql()),
+    "written_lists": (_written, Q.written_sql()),
+    "entity_files": (_entity_files, f"with {Q.PARTS} select entity_id, source, country, business_name, business_address from e where source = 2 and doc_idx % 2 = 0 or source = 3 and country = 'Brand#3'"),
+    "base_files": (_base_files, f"with {Q.PARTS} select country, 'Source ' || source as source, entity_id, business_name, business_address from e where source > 1"),
+    "uploaded_rows": (_uploaded, Q.upload_sql(200)),
+    "stored_batch": (_stored_batch, Q.stored_batch_sql()),
     "stored_base": (_stored_base, Q.stored_sql(STORED)),
 }
 

@@ -108,10 +108,15 @@ def id_lists(queries: DataFrame, pairs: DataFrame, name: str, most: int | None =
     return rows.select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias(name), "s1_idx")
 
 
-def write_lists(lists: DataFrame, path: str) -> None:
-    """Tab-separated with a header, in the order of the queries."""
+def write_lists(lists: DataFrame, path: str, queries: DataFrame | None = None) -> None:
+    """Tab-separated with a header, in the order of the queries; given those, country by country in the order in which they first occur."""
     name = lists.columns[1]
-    lists.orderBy("s1_idx").select("source1_entity_id", name).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(path)
+    order = ["s1_idx"]
+    if queries is not None:
+        first = queries.groupBy("country").agg(F.min("doc_idx").alias("__first"))
+        of = queries.select(F.col("entity_id").alias("__id"), "country").join(first.withColumnRenamed("country", "__c"), F.col("country").eqNullSafe(F.col("__c")))
+        lists, order = lists.join(of, F.col("source1_entity_id") == F.col("__id")), ["__first", "s1_idx"]
+    lists.orderBy(*order).select("source1_entity_id", name).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(path)
 
 
 def write_entities(entities: DataFrame, path: str) -> None:
@@ -123,6 +128,12 @@ def write_partitioned(entities: DataFrame, path: str) -> None:
     entities.hint("rebalance", "source", "country").write.mode("overwrite").partitionBy("source", "country").parquet(path)
 
 
+def read_lists(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(source1_entity_id, name) as write_lists writes them, in the order of the file."""
+    rows = spark.read.schema(f"source1_entity_id STRING, {name} STRING").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return rows.withColumn(name, F.coalesce(name, F.lit("")))
+
+
 def bundle(paths: dict[str, str], target: str) -> str:
     """A deflated zip of local result folders as single files, named by the keys; and a copy of each beside it.
 
