@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import time
@@ -104,6 +106,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers serve many tasks, and what one held stays with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not in every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -10,6 +10,7 @@ import numpy as np
 SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
+_BYTE = np.uint64(0x5C1B7E2D9F3A4C61)
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -31,11 +32,6 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -52,7 +48,10 @@ class Hasher:
         up, self.down = _powers(size)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_byte_values()[data] * up[: len(data)], out=self.sums[1:])
+            terms = data.astype(np.uint64)
+            terms += _BYTE
+            terms *= up[: len(data)]
+            np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, discard, load, materialize, text_buffers
+from tessera.llm.common import components, discard, load, materialize, text_buffers, trim
 from tessera.llm.kernel import Hasher, mix, slices, word_bounds
 
 TAU = 2
@@ -57,6 +57,7 @@ BINS = 24
 INDEX, PROBE, FAR = 1, 2, 4
 ROW, SLOT = -1, -2
 COUNTERS = 15
+SLICE = 1 << 18  # bytes of text at a time, so that its numbers stay in the cache
 SLOTS, RANGES = 1 << 20, 64  # of the coarse counts
 MOST_BITS = 1 << 27  # of the filter over wanted lines
 SEEN_BITS = 20
@@ -351,7 +352,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = ["rkey", "doc_id", "no", "id", "counts"]
         batch = None
         for batch in batches:
-            for lo, hi, data, at in slices(*text_buffers(batch.column("text"))):
+            for lo, hi, data, at in slices(*text_buffers(batch.column("text")), SLICE):
                 s, e, row, number = line_bounds(data, at)
                 take = pa.array(row + lo)
                 hasher = Hasher(data)
@@ -360,12 +361,14 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in ("rkey", "doc_id")] + [pa.array(np.full(hi - lo, ROW, np.int32)), pa.array(np.bincount(row, minlength=hi - lo)), pa.nulls(hi - lo, pa.binary())], names)
                 few = e - s < 4 * LONG
                 for _, keys, role in line_keys(hasher, s[few], e[few], tau):  # of lines that may be cut evenly
-                    total += np.bincount(slot_of(keys), minlength=SLOTS) if role & INDEX else 0
+                    if role & INDEX:
+                        np.add.at(total, slot_of(keys), 1)
                 s, e = s[e - s >= LONG], e[e - s >= LONG]
-                total += np.bincount(slot_of(segments(hasher, s, e, *line_words(data, at))[1]), minlength=SLOTS)
+                np.add.at(total, slot_of(segments(hasher, s, e, *line_words(data, at))[1]), 1)
         if batch is not None:
             squeeze = zstandard.ZstdCompressor(3)
             blobs = [squeeze.compress(part.tobytes()) for part in np.minimum(total, 65535).astype("<u2").reshape(RANGES, -1)]
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(RANGES, np.int64)), pa.nulls(RANGES, batch.schema.field("doc_id").type), pa.array(np.full(RANGES, SLOT, np.int32)), pa.array(np.arange(RANGES)), pa.array(blobs, pa.binary())], names)
 
     return rows.mapInArrow(run, f"rkey long, doc_id {kind}, no int, id long, counts binary")
@@ -398,7 +401,7 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("rkey"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
-FILED = 1 << 20  # rows that a filing task holds before it passes them on
+FILED = 1 << 17  # rows that a filing task holds before it passes them on
 
 
 def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int, hot: int, tau: int, least: int) -> DataFrame:
@@ -428,7 +431,7 @@ def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int, hot
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(parts, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
-            for _, _, data, at in slices(*text_buffers(batch.column(0))):
+            for _, _, data, at in slices(*text_buffers(batch.column(0)), SLICE):
                 s, e, _, _ = line_bounds(data, at)
                 long_ = e - s >= least
                 s, e = s[long_], e[long_]
@@ -453,6 +456,8 @@ def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int, hot
                     held, n = [], 0
         if n:
             yield flush()
+        held = []
+        trim()
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "bucket long, payload binary")
 
@@ -537,6 +542,7 @@ def _met(table: pa.Table, buckets: int, tau: int, block: int) -> pa.Table:
     else:
         out = list(_members(*rows, tau, block))
     none = np.empty(0, np.int64)
+    trim()
     return pa.table([pa.array(np.concatenate([none, *(x[k] for x in out)])) for k in range(3)], names=["key", "id", "sketch"])
 
 
@@ -561,7 +567,7 @@ def _texts(docs: DataFrame, text_col: str, ids: DataFrame, least: int) -> DataFr
         sent[0] = 1
         for batch in batches:
             out_ids, out_lines = [], []
-            for _, _, data, at in slices(*text_buffers(batch.column(0))):
+            for _, _, data, at in slices(*text_buffers(batch.column(0)), SLICE):
                 s, e, _, _ = line_bounds(data, at)
                 long_ = e - s >= least
                 s, e = s[long_], e[long_]
@@ -574,6 +580,7 @@ def _texts(docs: DataFrame, text_col: str, ids: DataFrame, least: int) -> DataFr
                 out_ids += found[hit].view(np.int64).tolist()
                 out_lines += [data[a:b].tobytes() for a, b in zip(s[first[hit]], e[first[hit]], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_lines, pa.binary())], ["id", "line"])
+        trim()
 
     lines = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, line binary")
     return lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
@@ -636,6 +643,7 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int, cross: bool) -> Itera
         if links:
             left, right = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    trim()
 
 
 def _compared(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:

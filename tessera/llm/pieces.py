@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, id_text, load, materialize, most_frequent, text_buffers
+from tessera.llm.common import discard, id_text, load, materialize, most_frequent, text_buffers, trim
 from tessera.llm.kernel import Hasher, slices
 
 SPACE = "▁"
@@ -463,6 +463,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                     cut = np.r_[0, np.cumsum(long_)][ends]
                     same = np.array([np.array_equal(back[cut[k] : cut[k + 1]], data[at[k] : at[k + 1]]) for k in range(hi - lo)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))), pa.array(same)], ["doc_id", "ids", "restored"])
+        del lattice, met
+        trim()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, restored boolean")
 

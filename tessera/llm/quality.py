@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out_expr, id_text, load, text_buffers
+from tessera.llm.common import held_out_expr, id_text, load, text_buffers, trim
 from tessera.llm.kernel import Hasher, slices, word_bounds
 
 PASSAGE = 600
@@ -208,6 +208,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                 weights.append(b)
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(scores)), pa.array(np.concatenate(weights))], ["__row", "score", "attention"])
+        trim()
 
     return rows.mapInArrow(run, f"__row {kind}, score double, attention double")
 
