@@ -165,3 +165,20 @@ def test_command_line(spark, tmp_path, parts):
     main(["evaluate", str(tmp_path), str(tmp_path / "report")])
     (part,) = (tmp_path / "report").glob("part-*")
     assert json.loads(part.read_text())["singleton_total"] == 40
+
+
+def test_links_are_placed_in_the_order_of_the_files(spark, tmp_path):
+    """Readers take large files first, and large files in blocks."""
+    lines = [[f"q{k},x{k}" for k in range(n)] for n in (3, 2000, 40)]
+    want = []
+    for k, part in enumerate(lines):
+        rows = [line.split(",") for line in part]
+        (tmp_path / f"part-{k:05d}-z.csv").write_text("source1_entity_id\tids\n" + "".join(f"{k}{q}\t{x},y\n" for q, x in rows))
+        want += [(f"{k}{q}", t) for q, x in rows for t in (x, "y")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = IO.placed_links(spark, str(tmp_path), "ids").orderBy("place").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.source1_entity_id, r.id) for r in got] == want and [r.place for r in got] == list(range(1, len(want) + 1))
