@@ -182,3 +182,30 @@ def test_links_are_placed_in_the_order_of_the_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.source1_entity_id, r.id) for r in got] == want and [r.place for r in got] == list(range(1, len(want) + 1))
+
+
+def test_pairs_of_a_frequent_name_stay_within_the_best(spark):
+    """A name that all have: the best k are those of other channels too, wherever in the list, then the first ones."""
+    rows = [(f"S1-{i}", 1, i, "US", "Blue Ring", f"{10 + i % 7} Oak Hill") for i in range(40)]
+    rows += [(f"S{2 + i % 2}-{i}", 2 + i % 2, i, "US", "Blue Ring" if i % 5 else "Red Ring", f"{10 + i % 11} Elm Hill") for i in range(300)]
+    queries, targets = sides(spark.createDataFrame(rows, ENTITY))
+    index = B.MULTI_CHANNEL.with_sizes(k=4, numaddr=(1500, 20), name=(250, 6))
+    listed = B.postings(targets, index).collect()
+    keys = {}
+    for r in B.tall_keys(queries, index).collect():
+        keys.setdefault(r.entity_id, set()).add((r.channel, r.key))
+    want = set()
+    for q, own in keys.items():
+        for source in (2, 3):
+            score = {}
+            for r in listed:
+                if r.source == source and (r.channel, r.key) in own:
+                    score[r.doc_idx, r.entity_id] = score.get((r.doc_idx, r.entity_id), 0.0) + r.weight
+            best = sorted((-round(x, 9), *t) for t, x in score.items())[:4]
+            want |= {(q, source, t, round(-x, 6), k + 1) for k, (x, _, t) in enumerate(best)}
+    found = B.candidates(queries, targets, index)
+    assert {(r.s1_id, r.source, r.target_id, round(r.score, 6), r["rank"]) for r in found.collect()} == want
+    assert any(int(t.split("-")[1]) > 20 for _, _, t, _, _ in want)
+    # No plan's rows are the pairs of queries and targets: they are summed within a block.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(weight" not in plan
