@@ -103,3 +103,20 @@ def test_set_similarities_of_empty_sides(spark):
     e = F.array().cast("array<string>")
     row = spark.range(1).select(S.jaccard(e, e).alias("j"), S.overlap(e, F.array(F.lit("a"))).alias("o"), S.ngram_jaccard(F.lit(""), F.lit(""), 3).alias("n"), S.ngram_jaccard(F.lit("ab"), F.lit("abc"), 3).alias("m")).first()
     assert (row.j, row.o, row.n, row.m) == (1.0, 0.0, 1.0, 0.0)
+
+
+def test_common_subsequences_side_by_side_equal_those_one_by_one():
+    """All lengths around a word of bits, letters of all planes, empty and long sides."""
+    import random
+
+    from tessera.functions import similarity as S
+
+    rng = random.Random(7)
+    word = lambda n, letters="abcd é𝄞": "".join(rng.choice(letters) for _ in range(n))
+    sizes = [0, 1, 2, 5, 13, 31, 62, 63, 64, 65, 80, 513, 600]
+    pairs = [(word(rng.choice(sizes)), word(rng.choice(sizes))) for _ in range(60)] + [(word(rng.randrange(20)), word(rng.randrange(25))) for _ in range(300)]
+    assert S.lcs_lengths(pairs).tolist() == [S.lcs_length(a, b) for a, b in pairs]
+    small = [p for p in pairs if max(map(len, p)) < 90]
+    got, want = S.best_window_ratios(small).tolist(), [S.best_window_ratio(a, b) for a, b in small]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(got, want, strict=True))
+    assert not len(S.lcs_lengths([]))
