@@ -209,3 +209,16 @@ def test_pairs_of_a_frequent_name_stay_within_the_best(spark):
     # No plan's rows are the pairs of queries and targets: they are summed within a block.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "sum(weight" not in plan
+
+
+def test_truth_as_groups_counts_what_its_links_count(spark):
+    """Repeated edges, ids without a group, queries outside the universe; and no link is made."""
+    truth = E.Groups(
+        spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", None), ("q4", "a"), ("q5", "z")], "s1_id string, `group` string"),
+        spark.createDataFrame([("t1", "a"), ("t2", "a"), ("t3", "b"), ("t4", None)], "target_id string, `group` string"),
+    )
+    predictions = spark.createDataFrame([("q1", "t1"), ("q1", "t1"), ("q1", "t3"), ("q2", None), ("q3", "t4"), ("q6", "t1"), ("q4", "t9")], "s1_id string, target_id string")
+    universe = spark.createDataFrame([("q1",), ("q2",), ("q3",), ("q5",), ("q6",)], "s1_id string")
+    got, want = (E.entity_counts(predictions=predictions, ground_truth=t, universe=universe) for t in (truth, truth.links()))
+    rows = lambda df: sorted(map(tuple, df.select("s1_id", "n_pred", "n_true", "tp").collect()))
+    assert rows(got) == rows(want) == [("q1", 2, 2, 1), ("q2", 0, 1, 0), ("q3", 1, 0, 0), ("q5", 0, 0, 0), ("q6", 1, 0, 0)]
