@@ -4,8 +4,7 @@ Every word, and the end of a text, is a dish in the restaurant of the word befor
 context restaurants share one parent, the restaurant of words without context, whose customers are the tables of all
 context restaurants. Its own base measure spells a word byte by byte: context restaurants of three bytes share parents of
 two bytes, these of one byte, and those one parent without context, over a uniform choice of 256 bytes and a word end;
-every table of the word restaurant sends one spelled word down. (Of the three-byte events the most frequent EVENTS have a
-dish at that level, the others begin with two bytes.) Unseen pairs and words keep a proper probability at every level, so
+every table of the word restaurant sends one spelled word down. Unseen pairs and words keep a proper probability at every level, so
 held-out text can be scored, and a text that the corpus holds twice is told from one that it holds once.
 
 Seating is sampled by Gibbs sweeps. In a sweep the customers of a dish leave their restaurant and are seated anew, one
@@ -14,7 +13,7 @@ customers of a dish they arrive in groups of a twentieth of those present, seate
 reseated in parallel against the table totals of the sweep before. After the burn-in, predictive probabilities are
 averaged over the kept sweeps.
 
-How it runs. All counts are exact and none leaves the executors, but for the spelling (at most EVENTS, and 258 ** 2
+How it runs. All counts are exact and none leaves the executors, but for the spelling after two bytes (at most 258 ** 2
 contexts of 257 symbols) and totals of a few contexts that hold a large share of all pairs.
 
 * Texts are packed in chunks of about CHUNK bytes: token numbers, and the chunk's different words with their counts.
@@ -22,6 +21,8 @@ contexts of 257 symbols) and totals of a few contexts that hold a large share of
 * Pairs of word numbers go to buckets by their first word, so that a bucket holds whole restaurants; the pairs of a
   frequent first word are spread over all buckets, and its totals are summed apart. Lists are sorted, so a pair costs
   about three bytes on its way.
+* Events of three bytes go to buckets by their context. In a sweep, word buckets send the tables of their words there, and
+  get what each event has of its own and the weight of its parent back; only the parents' tables go to the driver.
 * In a sweep, pair buckets send the tables of each word up to the word buckets, and get its predictive back.
 * At the end each chunk asks for its pairs in the same order again, so that only probabilities return to it.
 
@@ -42,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, held_out_expr, id_text, load, materialize, release, split_frequent, text_buffers
+from tessera.llm.common import discard, held_out_expr, id_text, load, materialize, release, text_buffers
 from tessera.llm.kernel import Hasher, mix, slices, word_bounds
 
 BURN_IN, KEPT = 1, 2  # sweeps
@@ -52,7 +53,6 @@ WORD_BYTES, PAIR_BYTES = 32 << 20, 8 << 20  # bytes of text for each bucket of w
 FREQUENT = 4  # a first word is frequent if it begins more than one FREQUENT-th of a bucket's pairs
 END = b"\n"  # the end of a text; no word holds it
 STOP, START, SYMBOLS = 256, 257, 258
-EVENTS = 1_000_000
 END_HASH = np.uint64(0x1D8E4E27C47D124F)
 LN10 = float(np.log(10.0))
 
@@ -150,24 +150,29 @@ def discount_of(once: int, twice: int) -> float:
 class Level:
     """Context restaurants over a parent: a fixed predictive of sampled seats. keys: (context, symbol) in base SYMBOLS, ascending."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, parent: np.ndarray, rng: np.random.Generator):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, parent: np.ndarray, rng: np.random.Generator, discount: float | None = None):
         self.keys = keys
         self.contexts, at = np.unique(keys // SYMBOLS, return_inverse=True)
-        d = _discount(counts)
+        d = _discount(counts) if discount is None else discount
         tables = seat(counts, parent, np.zeros(len(keys)), d, THETA, rng)
         self.tables = seat(counts, parent, np.bincount(at, tables)[at] - tables if len(keys) else tables, d, THETA, rng)
         n, own = np.bincount(at, counts), np.bincount(at, self.tables)
         self.direct = (counts - d * self.tables) / (THETA + n)[at] if len(keys) else np.zeros(0)
         self.back = (THETA + d * own) / (THETA + n)
 
-    def over(self, key: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """The predictive of events, given the parent's."""
+    def shares(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What events have of their own, and the weight of the parent's predictive."""
         if not len(self.keys):
-            return parent
+            return np.zeros(len(key)), np.ones(len(key))
         context = key // SYMBOLS
         g = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[k] == key, self.direct[k], 0.0) + parent * np.where(self.contexts[g] == context, self.back[g], 1.0)
+        return np.where(self.keys[k] == key, self.direct[k], 0.0), np.where(self.contexts[g] == context, self.back[g], 1.0)
+
+    def over(self, key: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """The predictive of events, given the parent's."""
+        direct, back = self.shares(key)
+        return direct + parent * back
 
 
 class Spelling:
@@ -203,6 +208,30 @@ class Spelling:
         return np.add.reduceat(np.log10(self.predictive(key, 3)), begins) if len(begins) else np.zeros(0)
 
 
+class SpreadSpelling(Spelling):
+    """A spelling whose three-byte restaurants stay in a table, where what is asked of them is looked up."""
+
+    def __init__(self, levels: list[Level], events: DataFrame, buckets: int):
+        super().__init__(levels)
+        self.events, self.buckets = events, buckets
+
+    def predictive(self, key: np.ndarray, depth: int) -> np.ndarray:
+        p = super().predictive(key, min(depth, 2))
+        if depth < 3:
+            return p
+        bucket = _event_bucket(key, self.buckets)
+        rows = self.events.filter("chunk < 0").filter(F.col("bucket").isin(np.unique(bucket).tolist())).select("bucket", "payload")
+        for r in rows.toLocalIterator():
+            step, direct, back, *_ = get(r.payload)
+            contexts, first = np.unique((keys := np.cumsum(step)) // SYMBOLS, return_index=True)
+            mine = np.flatnonzero(bucket == r.bucket)
+            k = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+            g = np.minimum(np.searchsorted(contexts, key[mine] // SYMBOLS), len(contexts) - 1)
+            weight = np.where(contexts[g] == key[mine] // SYMBOLS, back[first[g]], 1.0)
+            p[mine] = np.where(keys[k] == key[mine], direct[k], 0.0) + weight * p[mine]
+        return p
+
+
 def _discount(counts: np.ndarray) -> float:
     return discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
 
@@ -458,11 +487,88 @@ def sent_up(state: DataFrame, plan: Plan) -> DataFrame:
     return state.select("bucket", "pairs", "seats").mapInArrow(run, ROWS)
 
 
-def words_seated(words: DataFrame, messages: DataFrame, spelling: Spelling, discount: float, tables: int, sweep: int) -> DataFrame:
+# Events of three bytes: a bucket holds whole restaurants, and there are as many buckets as of words.
+
+
+def _event_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix((keys // SYMBOLS).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
+    """The order of ascending events by bucket, then key, and the bounds of the buckets."""
+    bucket = _event_bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+
+
+def merged_events(words: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, payload, once, twice): all events of the spelled words, one word for each table (before the first sweep, for
+    each word that was seen), and the places of those that each bucket of words asks for."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                count, size, letters, *tables = get(payload)
+                keys, n = spelled_keys(letters, wide(size), wide(tables[0]) if tables else np.minimum(wide(count), 1))
+                order, cut = _by_bucket(keys, buckets)
+                keys, n = keys[order], n[order]
+                out = [(k, put(steps(keys[i:j]), narrow(n[i:j]))) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(np.full(len(out), b)), pa.array([x[1] for x in out], pa.binary())], ["bucket", "chunk", "payload"])
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_numpy()
+        parts = [get(x) for x in table.column("payload").to_pylist()]
+        keys, _, count, place = _merged([np.cumsum(p[0]) for p in parts], [wide(p[1]) for p in parts])
+        payload = put(steps(keys), narrow(count), chunks, np.array([len(p[0]) for p in parts]), steps(place.astype(np.uint32)))
+        row = (table.column("bucket")[0].as_py(), payload, int((count == 1).sum()), int((count == 2).sum()))
+        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["bucket", "payload", "once", "twice"])
+
+    return words.select("bucket", "payload").mapInArrow(asked, ROWS).groupBy("bucket").applyInArrow(run, "bucket long, payload binary, once long, twice long")
+
+
+def events_seated(events: DataFrame, before: Spelling | None, discount: float, sweep: int) -> DataFrame:
+    """The restaurants of three bytes anew, given their parents before: (bucket, chunk -1) events, shares, parents' events and
+    the tables these get, and the answer to each bucket of words: the shares of its events."""
+    shared = events.sparkSession.sparkContext.broadcast(pickle.dumps(before))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = pickle.loads(shared.value)
+        for batch in batches:
+            for b, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                step, count, chunks, sizes, place = get(payload)
+                keys, has = np.cumsum(step), np.flatnonzero(count)
+                own = keys[has]
+                parent = before.predictive(own % SYMBOLS**3, 2) if before else np.full(len(own), 1 / 257)
+                level = Level(own, wide(count[has]), parent, np.random.default_rng([sweep, 3, b]), discount)
+                direct, back = (x.astype(np.float32) for x in level.shares(keys))
+                below, at = np.unique(own % SYMBOLS**3, return_inverse=True)
+                out = [(-1, put(step, direct, back, below, np.bincount(at, level.tables, len(below)).astype(np.int64)))]
+                place, ends = np.cumsum(place, dtype=np.uint32), np.cumsum(sizes)
+                out += [(chunk, put(direct[place[i:j]], back[place[i:j]])) for chunk, i, j in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), b)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "chunk", "payload"])
+
+    return events.select("bucket", "payload").mapInArrow(run, ROWS)
+
+
+def _parents(seated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The events of two bytes, ascending, and the tables that all restaurants of three bytes have for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in get(payload)[3:]], ["key", "n"])
+
+    got = seated.filter("chunk < 0").select("payload").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (got.column(k).to_numpy() for k in ("key", "n"))
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def words_seated(words: DataFrame, messages: DataFrame, events: DataFrame, buckets: int, spelling: Spelling, discount: float, tables: int, sweep: int) -> DataFrame:
     """The word restaurant anew: (bucket, chunk -1, seats) with its totals, and the answer to each bucket of pairs.
 
     The answer holds customers less discounts, and the spelled probability, as the weight of the latter is not known
-    before all are seated.
+    before all are seated. events: the answers of the buckets of events, which come under numbers below zero.
     """
     shared = words.sparkSession.sparkContext.broadcast(pickle.dumps(spelling))
     names = ["bucket", "chunk", "payload", "tables", "customers"]
@@ -470,10 +576,21 @@ def words_seated(words: DataFrame, messages: DataFrame, spelling: Spelling, disc
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = left.column("bucket")[0].as_py()
         count, size, letters, *before = get(left.column("payload")[0].as_py())
-        spelled = pickle.loads(shared.value).log10(letters, wide(size))
+        rows = sorted(zip(right.column("chunk").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        key, begins, _ = _spelled(letters, wide(size))
+        keys, inverse = np.unique(key, return_inverse=True)
+        del key
+        p = pickle.loads(shared.value).predictive(keys % SYMBOLS**3, 2)
+        order, _ = _by_bucket(keys, buckets)
+        direct, back = (np.concatenate(x) for x in zip(*(get(x) for chunk, x in reversed(rows) if chunk < 0), strict=True))
+        p[order] = direct + back * p[order]
+        spelled = np.add.reduceat(np.log10(p)[inverse], begins)
+        del inverse, begins
         customers = np.zeros(len(count), np.int64)
         asked = []
-        for chunk, payload in sorted(zip(right.column("chunk").to_pylist(), right.column("payload").to_pylist(), strict=True)):
+        for chunk, payload in rows:
+            if chunk < 0:
+                continue
             at, n = (wide(x) for x in get(payload))
             at = np.cumsum(at)
             customers[at] += n
@@ -488,7 +605,8 @@ def words_seated(words: DataFrame, messages: DataFrame, spelling: Spelling, disc
         out += [(b, chunk, put(direct[at], *_logs(spelled[at])), 0, 0) for chunk, at in asked]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], names)
 
-    return words.select("bucket", "payload").groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, f"{ROWS}, tables long, customers long")
+    answers = events.filter("chunk >= 0").select(F.col("chunk").alias("bucket"), (-1 - F.col("bucket")).alias("chunk"), "payload")
+    return words.select("bucket", "payload").groupBy("bucket").cogroup(messages.union(answers).groupBy("bucket")).applyInArrow(run, f"{ROWS}, tables long, customers long")
 
 
 def pairs_seated(state: DataFrame, answers: DataFrame, plan: Plan, d1: float, d2: float, tables: int, customers: int, often: np.ndarray, sweep: int, keep: bool) -> DataFrame:
@@ -564,28 +682,6 @@ def summed(chunks: DataFrame, answers: DataFrame, plan: Plan, who: str) -> DataF
     return both.applyInArrow(run, f"who {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def _spelling_counts(words: DataFrame) -> tuple[np.ndarray, ...]:
-    """Events of the spelled words, one word for each table (before the first sweep, for each word that was seen): the most
-    frequent ones after three bytes, and all others after two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                count, size, letters, *tables = get(payload)
-                keys, n = spelled_keys(letters, wide(size), wide(tables[0]) if tables else np.minimum(wide(count), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    counted = words.select("payload").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
-    counted = materialize(counted, "events")
-    often, seldom = split_frequent(counted, "n", EVENTS)
-    out: list[np.ndarray] = []
-    for rows in (often, seldom.groupBy((F.col("key") % SYMBOLS**3).alias("key")).agg(F.sum("n").alias("n"))):
-        got = rows.select("key", "n").toPandas().sort_values("key")
-        out += [got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)]
-    discard(counted)
-    return tuple(out)
-
-
 def _often(state: DataFrame, plan: Plan) -> np.ndarray:
     """Tables in the restaurants of the frequent words."""
     rows = state.select(F.explode("often").alias("o")).groupBy("o.id").agg(F.sum("o.n").alias("n")).collect()
@@ -606,14 +702,15 @@ class Fitted:
     often: list[np.ndarray]
     tables: int
     customers: int
-    spelling: Spelling
+    spelling: SpreadSpelling
 
 
 def fitted(rows: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, chunk: int = CHUNK, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES) -> Fitted:
     """The model of the rows (who, held_out, text) that aren't held out."""
     spark = rows.sparkSession
     bytes_, starts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    table = materialize(packed(rows, -(-bytes_ // word_bytes) or 1, chunk), "chunks", "uncompressed")
+    word_buckets = -(-bytes_ // word_bytes) or 1
+    table = materialize(packed(rows, word_buckets, chunk), "chunks", "uncompressed")
     who = table.schema["who"].dataType.simpleString()
     chunks, asked = table.filter("bucket < 0"), table.filter("bucket >= 0")
     merged = materialize(merged_words(asked), "words", "uncompressed")
@@ -647,9 +744,16 @@ def fitted(rows: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, chunk: int
     n1, n2 = (x or 0 for x in state.agg(F.sum("once"), F.sum("twice")).first())
     d1, d2 = discount_of(once, twice), discount_of(n1, n2)
     rng, spelling, sums, known, tables, customers = np.random.default_rng(5), None, [], _often(state, plan), distinct, 0
+    none, events = np.zeros(0, np.int64), None
     for sweep in range(burn_in + kept):
-        spelling = Spelling.sample(*_spelling_counts(words), spelling, rng)
-        seated = materialize(words_seated(words, sent_up(state, plan), spelling, d1, tables, sweep), "words", "uncompressed")
+        spelled = materialize(merged_events(words, word_buckets), "events", "uncompressed")
+        n1, n2 = (x or 0 for x in spelled.agg(F.sum("once"), F.sum("twice")).first())
+        if events is not None:
+            discard(events)
+        events = materialize(events_seated(spelled, spelling, discount_of(n1, n2), sweep), "events", "uncompressed")
+        discard(spelled)
+        spelling = Spelling.sample(none, none, *_parents(events), spelling, rng)
+        seated = materialize(words_seated(words, sent_up(state, plan), events, word_buckets, spelling, d1, tables, sweep), "words", "uncompressed")
         discard(merged)
         merged, words = seated, seated.filter("chunk < 0")
         tables, customers = (x or 0 for x in words.agg(F.sum("tables"), F.sum("customers")).first())
@@ -659,7 +763,7 @@ def fitted(rows: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, chunk: int
         state, known = nxt, _often(nxt, plan)
         if sweep >= burn_in:
             sums.append(known)
-    return Fitted(plan, chunks, asked, state, words, (d1, d2), sums, tables, customers, spelling)
+    return Fitted(plan, chunks, asked, state, words, (d1, d2), sums, tables, customers, SpreadSpelling(spelling.levels, events, word_buckets))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, **sizes: int) -> DataFrame:
@@ -673,6 +777,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     model = fitted(rows.select(F.struct("doc_id", "held_out").alias("who"), "held_out", "text"), **sizes)
     answers = materialize(probabilities(model.state, model.asked, model.plan, model.discounts[1], model.often), "scored", "uncompressed")
     discard(model.state)
+    discard(model.spelling.events)
     release(docs.sparkSession)
     out = summed(model.chunks, answers, model.plan, model.chunks.schema["who"].dataType.simpleString())
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")

@@ -169,3 +169,22 @@ def test_empty_and_untrained(spark):
     none = L.scores(df, modulus=1, remainder=0).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.base_score) for r in none] == [(True, 0, 0, 0.0)] * 2
     assert np.isclose(none[0].score, 3 * math.log10(1 / 257), atol=2e-3)
+
+
+def test_every_three_byte_event_has_its_dish(spark):
+    """1.8 million events of words that occur once: after a context of such events alone, the predictive is known."""
+    rng = np.random.default_rng(6)
+    signs = np.array([x for x in range(33, 127) if not 65 <= x <= 90], np.uint8)
+    words = np.unique(signs[rng.integers(0, len(signs), (260_000, 8))], axis=0)
+    data = np.c_[words, np.full(len(words), 32, np.uint8)]
+    rows = [(k, data[k::40].tobytes().decode()) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).withColumn("who", F.struct("doc_id", "held_out"))
+    spelling = L.fitted(df.select("who", "held_out", "text"), word_bytes=500_000).spelling
+    keys, counts = L.spelled_keys(words.ravel(), np.full(len(words), 8), np.ones(len(words), np.int64))
+    assert len(keys) > 1_500_000
+    _, at = np.unique(keys // L.SYMBOLS, return_inverse=True)
+    once = np.flatnonzero((np.bincount(at, counts != 1) == 0)[at])[::50]
+    n = np.bincount(at)[at][once]
+    d = L.discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
+    want = (1 - d) / (1 + n) + (1 + d * n) / (1 + n) * spelling.predictive(keys[once] % L.SYMBOLS**3, 2)
+    assert len(once) > 10_000 and np.allclose(spelling.predictive(keys[once], 3), want, rtol=1e-3)
