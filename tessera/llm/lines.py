@@ -53,6 +53,7 @@ MIXED = 7  # lines of fewer segments are cut evenly too
 LINES = 60_000  # lines for each bucket of keys
 BLOCK = 512  # lines compared at once; groups of up to a 32nd list their pairs
 PIVOTS = 16
+COMPARED = 1024  # lines whose pairs are held at once, or a group's if that is more
 BINS = 24
 INDEX, PROBE, FAR = 1, 2, 4
 ROW, SLOT = -1, -2
@@ -324,12 +325,11 @@ def near_equal(a: bytes, b: bytes, tau: int, t: int) -> bool:
 
 def word_bits(lines: pa.Array) -> np.ndarray:
     """A set of 1024 bits for the words of each line, [lines, 16]."""
-    data, at = text_buffers(lines)
-    data, at = data[at[0] : at[-1]], at - at[0]
-    s, e = line_words(data, at)
-    slot = (Hasher(data)(s, e) >> np.uint64(20) & np.uint64(1023)).astype(np.int64)
-    out = np.zeros((len(at) - 1, 16), np.uint64)
-    np.bitwise_or.at(out, (np.searchsorted(at, s, "right") - 1, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
+    out = np.zeros((len(lines), 16), np.uint64)
+    for lo, _, data, at in slices(*text_buffers(lines), SLICE):
+        s, e = line_words(data, at)
+        slot = (Hasher(data)(s, e) >> np.uint64(20) & np.uint64(1023)).astype(np.int64)
+        np.bitwise_or.at(out, (np.searchsorted(at, s, "right") - 1 + lo, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
     return out
 
 
@@ -463,10 +463,10 @@ def _filed(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int, hot
 
 
 def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole groups, of `rows` rows or more."""
+    """Sorted rows as tables of whole groups, of `rows` rows or somewhat more; a larger group stands in one."""
     kept: list[pa.Table] = []
     held = 0
-    for batch in batches:
+    for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
         if not batch.num_rows:
             continue
         kept.append(pa.Table.from_batches([batch]))
@@ -541,9 +541,10 @@ def _met(table: pa.Table, buckets: int, tau: int, block: int) -> pa.Table:
         out = [tuple(x.view(np.int64) for x in np.unique(rows, axis=1))]
     else:
         out = list(_members(*rows, tau, block))
-    none = np.empty(0, np.int64)
+    none, rows = np.empty(0, np.int64), None
+    out = pa.table([pa.array(np.concatenate([none, *(x[k] for x in out)])) for k in range(3)], names=["key", "id", "sketch"])
     trim()
-    return pa.table([pa.array(np.concatenate([none, *(x[k] for x in out)])) for k in range(3)], names=["key", "id", "sketch"])
+    return out
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
@@ -606,46 +607,52 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int, cross: bool) -> Itera
     In each round every line is tried against its next candidate in another class; classes that a pair joins are one from
     then on, so that a family of copies takes a round or two.
     """
-    keys = ["key", "block", "part"]
-    for table in _tables(batches, keys, 4_000):
-        cols = [table.column(k).to_numpy() for k in keys]
-        ids, sketch, root, guest = (table.column(k).to_numpy(zero_copy_only=False) for k in ("id", "sketch", "root", "guest"))
-        sketch = sketch.view(np.uint64)
-        change = np.zeros(len(ids), np.int64)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(change)
-        label = np.unique(np.c_[group, root], axis=0, return_inverse=True)[1].ravel()
-        pairs = [(x + a, y + a) for a, b in zip(*_groups(group), strict=True) if b - a > 1 for x, y in [_candidates(sketch[a:b], guest[a:b], cross, tau)]]
-        if not pairs:
-            continue
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        edits = np.where(sketch[i] & sketch[j] & np.uint64(FAR), edits_of(sketch[i], sketch[j]), 0)
-        bits = word_bits(table.column("line").combine_chunks())
-        ok = np.concatenate([(edits[k : k + 50_000] == 0) | words_allow(bits[i[k : k + 50_000]], bits[j[k : k + 50_000]], edits[k : k + 50_000]) for k in range(0, len(i), 50_000)] or [edits > 0])
-        i, j, edits = i[ok], j[ok], edits[ok]
-        lines = table.column("line").to_pylist()
-        links: list[tuple[int, int]] = []
-        while True:
-            open_ = (label[i] != label[j]) & (ids[i] != ids[j])
-            i, j, edits = i[open_], j[open_], edits[open_]
-            if not len(i):
-                break
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            x, y = i[first], j[first]
-            for p, q, most in zip(x.tolist(), y.tolist(), edits[first].tolist(), strict=True):
-                if label[p] != label[q] and near_equal(lines[p], lines[q], tau, most):
-                    links.append((ids[p], ids[q]))
-                    label[label == label[q]] = label[p]
-            rest = np.ones(len(i), bool)
-            rest[first] = False
-            i, j, edits = i[rest], j[rest], edits[rest]
+    for table in _tables(batches, ["key", "block", "part"], COMPARED):
+        links = _table_links(table, tau, cross)
         if links:
             left, right = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    table = None
     trim()
 
 
+def _table_links(table: pa.Table, tau: int, cross: bool) -> list[tuple[int, int]]:
+    keys = ["key", "block", "part"]
+    cols = [table.column(k).to_numpy() for k in keys]
+    ids, sketch, root, guest = (table.column(k).to_numpy(zero_copy_only=False) for k in ("id", "sketch", "root", "guest"))
+    sketch = sketch.view(np.uint64)
+    change = np.zeros(len(ids), np.int64)
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    group = np.cumsum(change)
+    label = np.unique(np.c_[group, root], axis=0, return_inverse=True)[1].ravel()
+    pairs = [(x + a, y + a) for a, b in zip(*_groups(group), strict=True) if b - a > 1 for x, y in [_candidates(sketch[a:b], guest[a:b], cross, tau)]]
+    if not pairs:
+        return []
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    edits = np.where(sketch[i] & sketch[j] & np.uint64(FAR), edits_of(sketch[i], sketch[j]), 0)
+    bits = word_bits(table.column("line").combine_chunks())
+    ok = np.concatenate([(edits[k : k + 50_000] == 0) | words_allow(bits[i[k : k + 50_000]], bits[j[k : k + 50_000]], edits[k : k + 50_000]) for k in range(0, len(i), 50_000)] or [edits > 0])
+    i, j, edits = i[ok], j[ok], edits[ok]
+    lines = table.column("line").to_pylist()
+    links: list[tuple[int, int]] = []
+    while True:
+        open_ = (label[i] != label[j]) & (ids[i] != ids[j])
+        i, j, edits = i[open_], j[open_], edits[open_]
+        if not len(i):
+            break
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        x, y = i[first], j[first]
+        for p, q, most in zip(x.tolist(), y.tolist(), edits[first].tolist(), strict=True):
+            if label[p] != label[q] and near_equal(lines[p], lines[q], tau, most):
+                links.append((ids[p], ids[q]))
+                label[label == label[q]] = label[p]
+        rest = np.ones(len(i), bool)
+        rest[first] = False
+        i, j, edits = i[rest], j[rest], edits[rest]
+    return links
+
+
 def _compared(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, t, text of a, text of b) that are near-equal."""
     for batch in batches:
@@ -653,6 +660,8 @@ def _compared(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Record
         maybe = (t == 0) | words_allow(word_bits(batch.column(3)), word_bits(batch.column(4)), t)
         good = pa.array([ok and near_equal(x, y, tau, n) for ok, n, x, y in zip(maybe.tolist(), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], ["a", "b"])
+    batch = t = maybe = good = None
+    trim()
 
 
 def near_lines(docs: DataFrame, levels: np.ndarray, lines: int, text_col: str = "text", tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> DataFrame:

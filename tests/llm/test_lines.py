@@ -249,3 +249,41 @@ def test_long_texts_and_many_lines(spark):
     df = spark.createDataFrame([(1, long_line), (2, "x " + long_line), (3, many), (4, many)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.report(df).collect()}
     assert got[2].n_near == 1 and got[4].n_exact == 30_000 and got[1].n_near == 0
+
+
+def test_large_groups_are_compared_in_little_memory():
+    """One Arrow batch of 18 full groups of copies: pairs are held for a few groups at a time, and hashes for a slice of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    groups, size = 18, 530
+    rng = random.Random(8)
+    lines = []
+    for _ in range(groups):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(40)]
+        lines += [" ".join([*words[: k % 40], "x%d" % k, *words[k % 40 + 1 :]]).encode() for k in range(size)]
+    data, at = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)])
+    hasher = Hasher(data)
+    _, _, sketch, _ = L.far_keys(hasher, at[:-1], at[1:], *L.line_words(data, at), np.zeros(L.SLOTS, np.uint8))
+    n = len(lines)
+    group, zero = np.repeat(np.arange(groups), size), np.zeros(n, np.int64)
+    columns = [pa.array(x) for x in (group, zero, zero, np.arange(n), sketch.view(np.int64), np.arange(n), zero > 0)] + [pa.array(lines, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "block", "part", "id", "sketch", "root", "guest", "line"])
+    tracemalloc.start()
+    try:
+        links = [(a, b) for out in L._verified(iter([batch]), 2, False) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(links) == n - groups and all(a // size == b // size for a, b in links)
+    assert peak < 80 << 20, peak
+
+
+def test_word_bits_do_not_depend_on_the_slices():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    lines = [b"", b" ".join(b"w%d" % rng.randrange(99) for _ in range(80_000)), *(b" ".join(b"v%d" % rng.randrange(999) for _ in range(9)) for _ in range(9000))]
+    got = L.word_bits(pa.array(lines, pa.binary()).slice(1))
+    assert len(got) == len(lines) - 1 and all(np.array_equal(got[k - 1], L.word_bits(pa.array([lines[k]], pa.binary()))[0]) for k in (1, 2, 4000, 9001))
