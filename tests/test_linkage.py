@@ -222,3 +222,53 @@ def test_truth_as_groups_counts_what_its_links_count(spark):
     got, want = (E.entity_counts(predictions=predictions, ground_truth=t, universe=universe) for t in (truth, truth.links()))
     rows = lambda df: sorted(map(tuple, df.select("s1_id", "n_pred", "n_true", "tp").collect()))
     assert rows(got) == rows(want) == [("q1", 2, 2, 1), ("q2", 0, 1, 0), ("q3", 1, 0, 0), ("q5", 0, 0, 0), ("q6", 1, 0, 0)]
+
+
+def test_draws_are_those_of_the_hash(spark):
+    import hashlib
+
+    import numpy as np
+
+    from tessera.operators import draws
+
+    for lo, hi in ((0, 1), (7, 12), (98, 1005), (999_999_990, 1_000_000_010)):
+        for head in (b"42|0|", b"42|17|", b"42|999|", b"-1|1000|"):
+            got = np.concatenate([draws.md5_head(head, x) for x in draws.runs_of_digits(lo, hi)])
+            assert got.tolist() == [int(hashlib.md5(head + str(k).encode()).hexdigest()[:15], 16) for k in range(lo, hi)]
+    n, repeats = 9000, 60  # more than one unit of work each way
+    values = [None if k % 11 == 0 else k % 7 / 7 for k in range(n)]
+    rows = spark.createDataFrame(list(enumerate(values)), "at long, v double")
+    got = [{r.rep: r.m for r in draws.resampled_means(rows, n, repeats, 42, most).collect()} for most in (n, n - 1)]
+    assert len(got[0]) == len(got[1]) == repeats and all(abs(got[0][k] - got[1][k]) < 1e-12 for k in got[0])
+    for rep in (0, 49, 59):
+        drawn = [values[int(hashlib.md5(f"42|{rep}|{k}".encode()).hexdigest()[:15], 16) % n] for k in range(n)]
+        drawn = [x for x in drawn if x is not None]
+        assert abs(sum(drawn) / len(drawn) - got[0][rep]) < 1e-12
+
+
+def test_a_million_draws_take_a_second():
+    import time
+
+    import pyarrow as pa
+
+    from tessera.operators import draws
+
+    began = time.process_time()
+    units = [pa.RecordBatch.from_arrays([pa.array([0, 1, 2])], ["id"])]
+    assert sum(len(at) for _, at in draws._units(iter(units), 8192, 150, 42)) == 150 * 8192
+    assert time.process_time() - began < 2
+
+
+def test_counts_of_groups_on_both_sides(spark):
+    """Equal to those of their links; 20,000 queries and as many targets under one name have 4 * 10 ** 8 links, none of which is made."""
+    from tessera.operators import evaluate as E
+
+    queries = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", "y"), ("e", "z")], "s1_id string, group string")
+    targets = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None), ("4", "y"), (None, "y")], "target_id string, group string")
+    truth = E.Groups(spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 3)], "s1_id string, group int"), spark.createDataFrame([("1", 1), ("2", 2), ("3", 2), ("5", 3)], "target_id string, group int"))
+    guess, universe = E.Groups(queries, targets), queries.select("s1_id")
+    got, want = (sorted(map(tuple, E.entity_counts(predictions=p, ground_truth=t, universe=universe).collect())) for p, t in ((guess, truth), (guess.links(), truth.links())))
+    assert got == want == [("a", 2, 1, 1), ("b", 2, 2, 1), ("c", 0, 2, 0), ("d", 1, 1, 0), ("e", 0, 0, 0)]
+    ids = spark.range(20_000)
+    one = E.Groups(ids.selectExpr("string(id) s1_id", "'n' group"), ids.selectExpr("string(id) target_id", "'n' group"))
+    assert E.entity_counts(predictions=one, ground_truth=one, universe=one.queries).filter("tp = 20000").count() == 20_000
