@@ -272,3 +272,36 @@ def test_counts_of_groups_on_both_sides(spark):
     ids = spark.range(20_000)
     one = E.Groups(ids.selectExpr("string(id) s1_id", "'n' group"), ids.selectExpr("string(id) target_id", "'n' group"))
     assert E.entity_counts(predictions=one, ground_truth=one, universe=one.queries).filter("tp = 20000").count() == 20_000
+
+
+def test_every_pair_that_shares_a_key_is_counted(spark, monkeypatch):
+    """One name and number for many: no partner is cut off, copies count, frequent keys go through several cells; equal to brute force."""
+    from tessera.operators import classes as C
+
+    monkeypatch.setattr(C, "CELL", 8)  # of the driver, which deals the cells out
+    rows = [(f"S{1 + i % 3}-{i}", 1 + i % 3, i, "US" if i % 29 else None, ["Blue Ring", "Red Ring", "Azure Bolt", None, "Ringworks"][i % 5], f"{10 + i % 4} Oak Hill {'x' * (i % 6)}" if i % 31 else None) for i in range(150)]
+    rows += [(f"S{1 + i % 3}-{i}", 1 + i % 3, i, "US", "Blue Ring", "77 Long " + " ".join(f"w{k}{i % 3}" for k in range(40))) for i in range(150, 160)]
+    entities = spark.createDataFrame(rows, ENTITY)
+    queries, targets = sides(entities)
+    got = {r.entity_id: (r.class_id, r.n_links, r.best_sim) for r in C.link_counts(queries, targets).collect()}
+    keys = {}
+    for r in B.tall_keys(entities, B.MULTI_CHANNEL).collect():
+        keys.setdefault(r.entity_id, set()).add((r.country, r.channel, r.key))
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[1] == 1 < b[1] and keys.get(a[0], set()) & keys.get(b[0], set())]
+    sims = M.at_least(M.scored_pairs(spark.createDataFrame(pairs, "s1_id string, target_id string"), queries, targets)).collect()
+    first, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        first.setdefault((r[3], r[4] or "", r[5] or ""), r[0])
+    for r in rows:
+        near = [x.sim for x in sims if r[0] in (x.s1_id, x.target_id)]
+        want[r[0]] = (first[r[3], r[4] or "", r[5] or ""], len(near), max(near, default=None))
+    assert got == want and max(n for _, n, _ in got.values()) > 20
+
+
+def test_part_links_have_no_cap(spark):
+    """Three a source and five a key were all that a query could have."""
+    from tessera import queries as Q
+
+    rows = Q.CATALOGUE["match_threshold"][0](spark, SF).collect()
+    assert len(rows) == 200 and max(r.n_links for r in rows) > 6
+    assert sum(r.n_links for r in rows if r.source == 1) == sum(r.n_links for r in rows if r.source > 1)
