@@ -305,3 +305,25 @@ def test_part_links_have_no_cap(spark):
     rows = Q.CATALOGUE["match_threshold"][0](spark, SF).collect()
     assert len(rows) == 200 and max(r.n_links for r in rows) > 6
     assert sum(r.n_links for r in rows if r.source == 1) == sum(r.n_links for r in rows if r.source > 1)
+
+
+def test_training_on_classes_is_training_on_pairs(spark):
+    """Copies are one row with a weight, and truth as groups gives the rows that its links give."""
+    from tessera.operators.evaluate import Groups
+
+    rows = [(f"S{1 + i % 3}-{i}", 1 + i % 3, i, "US", ["Blue Ring", "Red Ring", "Old Plate"][i % 5 % 3], f"{10 + i % 4} Oak Hill") for i in range(90)]
+    queries, targets = sides(spark.createDataFrame(rows, ENTITY))
+    group = F.col("business_name").alias("group")
+    truth = Groups(queries.select(F.col("entity_id").alias("s1_id"), group), targets.select(F.col("entity_id").alias("target_id"), group))
+    left, right = L.classes(queries, "s1"), L.classes(targets, "target")
+    got, want = ({(r.s1_class, r.target_class): r.weight for r in L.true_class_pairs(t, left, right).collect()} for t in (truth, truth.links()))
+    assert got == want and sum(got.values()) == truth.links().count() > len(got)
+    found = B.candidates(queries, targets, B.DUAL)
+    lists = [sorted((r.s1_id, r.target_id) for r in df.collect()) for df in (L.nearest_wrong(L.labelled(found, truth), truth), L.hard_negatives(found, truth.links()).filter("label = 0"))]
+    assert lists[0] == lists[1]
+    tables = [P.train(queries, targets, t, rounds=2)[2:] for t in (truth, truth.links())]
+    assert tables[0][0].count() == 14 and len({tuple(map(tuple, t.collect())) for t, _ in tables}) == 1
+    # 25 pairs make a leaf, though they are two rows.
+    rows = spark.createDataFrame([(0.0, 0, 40.0), (1.0, 1, 40.0)], "x double, label int, weight double")
+    probs = [r.prob for r in L.predicted(L.fit_classifier(rows, ["x"], rounds=1), rows).orderBy("x").collect()]
+    assert probs[0] < 0.5 < probs[1]
